@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, chunk_bpe, packing, simhash, token_counts
+from . import audio, chat, chunk_bpe, line_dedup, oph, packing, pii, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -18,6 +18,21 @@ def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark, sf_dir):
+    scored = quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    shown = [F.round(f"__{c}", 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior")]
+    return scored.select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), *shown, F.col("__keep").alias("keep"))
+
+
+def op2_pii(spark, sf_dir):
+    found = pii.find_pii(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark, sf_dir):
     counted = token_counts.token_prefix_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
@@ -45,9 +60,32 @@ def op8_harmonic_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_chroma_audio(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")
+    prints = audio.fingerprints(audio.sonify(vectors), "id", "pcm")
+    found = audio.align(prints, F.col("id") % 50 == 0)
+    digest = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256).alias("fingerprint_sha256")
+    return found.select(F.col("id").alias("vec_id"), "n_codes", digest, "class_id", "query_id", "offset", "votes", "bit_error")
+
+
+def op10_fingerprints(spark, sf_dir):
+    found = oph.edited_likeness(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+_ALL = (op1_quality, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_chat_format, op7_bpe_chunks, op8_harmonic_packing, op9_chroma_audio, op10_fingerprints, pipeline)
+
+
 def queries():
-    return {f.__name__: f for f in (op4_token_counts, op5_simhash, op6_chat_format, op7_bpe_chunks, op8_harmonic_packing)}
+    return {f.__name__: f for f in _ALL}
 
 
 def oracle_sql():
+    """SQL is given where it's quick on whole tables."""
     return {}
