@@ -31,7 +31,8 @@ def _words(line: Column) -> Column:
 
 
 def _hashes(line: Column) -> Column:
-    return F.transform(_words(line), lambda w: F.xxhash64(w))
+    """The hashes of all words, repeats included."""
+    return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def rarity(docs: DataFrame) -> Column:
@@ -45,11 +46,14 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, n, h1, h2, prefix, b1, b2) of each line of ``least`` words or more; h1 and h2 tell the sets apart."""
+    """(doc_id, line_no, n, h1, h2, prefix, b1, b2) of each line of ``least`` words or more; h1 and h2 tell the sets apart.
+
+    The prefix has 32-bit hashes: a collision adds a candidate pair, which the exact count rejects.
+    """
     ranks = rarity(docs)
     low = F.lit((1 << 47) - 1)
     key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), 47).bitwiseOR(h.bitwiseAND(low))
-    lines = _lines(docs).withColumn("hashes", _hashes(F.col("line"))).where(F.size("hashes") >= least)
+    lines = _lines(docs).withColumn("hashes", F.array_distinct(_hashes(F.col("line")))).where(F.size("hashes") >= least)
     lines = lines.select("doc_id", "line_no", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
     bits = "aggregate(keys, 0L, (a, k) -> a | if((k & 64L) = {}, shiftleft(1L, cast(k & 63L as int)), 0L))"
     return lines.select(
@@ -58,7 +62,7 @@ def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
         "n",
         F.xxhash64("keys").alias("h1"),
         F.xxhash64(F.lit(1), "keys").alias("h2"),
-        F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)").alias("prefix"),
+        F.transform(F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)"), lambda k: F.hash(k)).alias("prefix"),
         F.expr(bits.format("0L")).alias("b1"),
         F.expr(bits.format("64L")).alias("b2"),
     )
