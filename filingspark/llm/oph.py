@@ -77,7 +77,7 @@ def successors(docs: DataFrame, width: int = 2048) -> DataFrame:
 
     Ids are ordered within ranges of ``width``; only each range's smallest id takes part in ordering the ranges.
     """
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")).withColumn("range", F.floor(F.col("doc_id") / width).cast("long"))
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")).withColumn("range", F.expr(f"(doc_id - pmod(doc_id, {width})) div {width}"))
     heads = ids.groupBy("range").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("range")
     after = heads.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("following"))
@@ -97,7 +97,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     printed = own.where("doc_id is not null").withColumn("fingerprint", fingerprint(F.col("text")))
     lone = own.where("doc_id is null").withColumn("fingerprint", fingerprint(F.col("text")))
     after = successors(own)
-    lent = printed.withColumnRenamed("doc_id", "next_id").join(after, "next_id").select(F.col("doc_id"), F.struct(F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("start"), F.col("fingerprint").alias("print")).alias("lent"))
+    lent = printed.join(after.withColumnRenamed("doc_id", "for_id"), F.col("doc_id") == F.col("next_id")).select(F.col("for_id").alias("doc_id"), F.struct(F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("start"), F.col("fingerprint").alias("print")).alias("lent"))
     lent = lent.groupBy("doc_id").agg(F.min("lent").alias("lent"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
