@@ -93,19 +93,20 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     row without a doc_id has no next document; an empty text stands in. Empty tables give no rows.
     """
     own = documents_of(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # both joins read one exchange of the texts: the rows with a doc_id, in the same columns
-    printed = own.where("doc_id is not null").withColumn("fingerprint", fingerprint(F.col("text")))
-    lone = own.where("doc_id is null").withColumn("fingerprint", fingerprint(F.col("text")))
-    after = successors(own)
-    lent = printed.join(after.withColumnRenamed("doc_id", "for_id"), F.col("doc_id") == F.col("next_id")).select(F.col("for_id").alias("doc_id"), F.struct(F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("start"), F.col("fingerprint").alias("print")).alias("lent"))
+    # Both joins read one exchange of the texts. Fingerprints come after it: expressions with lambdas keep Spark from
+    # seeing that two exchanges are the same.
+    known, lone = own.where("doc_id is not null"), own.where("doc_id is null")
+    after = successors(own).withColumnRenamed("doc_id", "for_id")
+    start = F.left("text", F.floor(F.col("n_chars") / 4).cast("int")).alias("start")
+    lent = known.join(after, F.col("doc_id") == F.col("next_id")).select(F.col("for_id").alias("doc_id"), F.struct(start, fingerprint(F.col("text")).alias("print")).alias("lent"))
     lent = lent.groupBy("doc_id").agg(F.min("lent").alias("lent"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    both = printed.join(lent, "doc_id", "left").unionByName(lone.withColumn("lent", F.lit(None).cast(lent.schema["lent"].dataType))).select(
+    both = known.join(lent, "doc_id", "left").unionByName(lone.withColumn("lent", F.lit(None).cast(lent.schema["lent"].dataType))).select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.concat(F.left("text", n - quarter), F.coalesce(F.left("lent.start", quarter), F.lit(""))).alias("edited"),
-        "fingerprint",
+        fingerprint(F.col("text")).alias("fingerprint"),
         F.coalesce("lent.print", F.lit("")).alias("next_fingerprint"),
     )
     both = both.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
