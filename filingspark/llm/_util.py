@@ -33,4 +33,7 @@ def small_side(df: DataFrame, max_rows: int) -> DataFrame:
 
 def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     """Only the columns an operator works on, so that extra columns of any name can't clash with its own."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    kinds = dict(docs.dtypes)
+    wanted = {"doc_id": "bigint", "text": "string"}
+    # a column of the right type stays as it is: a renaming keeps Spark from sharing exchanges
+    return docs.select(*(F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()), *more)
