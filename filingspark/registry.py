@@ -1,11 +1,18 @@
-"""All queries of the library, by name."""
+"""All queries of the library, by name, each with SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from . import queries_market, queries_metrics, queries_panel
+from .views import portable
 
+_MODULES = (queries_market, queries_panel, queries_metrics)
 
-def oracle_sql():
-    return {}
+
+def queries() -> dict[str, Callable]:
+    return {name: run for m in _MODULES for name, (run, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: portable(sql) for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
