@@ -8,7 +8,8 @@ differing bits there says how alike they are.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,17 +74,20 @@ def fingerprint(pcm: bytes | None):
     return out.view("i4")
 
 
-def fingerprints(recordings: DataFrame, id_column: str, pcm_column: str) -> DataFrame:
-    """(id, fingerprint array<int>) for every row, without a shuffle. Null and short recordings have an empty one."""
+def fingerprints(recordings: DataFrame, id_column: str, media_column: str, decode: Callable[[object], bytes | None] = bytes) -> DataFrame:
+    """(id, fingerprint array<int>) for every row, without a shuffle. Null and short recordings have an empty one.
+
+    ``decode`` makes 16-bit little-endian samples of a media value; one recording at a time is held decoded.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            prints = [fingerprint(x) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.tolist() for p in prints], pa.list_(pa.int32()))], ["id", "fingerprint"])
+            prints = [fingerprint(decode(x) if x is not None else None).tolist() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.list_(pa.int32()))], ["id", "fingerprint"])
 
-    return recordings.select(F.col(id_column).cast("long").alias("id"), F.col(pcm_column).cast("binary").alias("pcm")).mapInArrow(run, "id long, fingerprint array<int>")
+    return recordings.select(F.col(id_column).cast("long").alias("id"), F.col(media_column)).mapInArrow(run, "id long, fingerprint array<int>")
 
 
 def bit_error(a: Column, b: Column, offset: Column) -> Column:
@@ -117,24 +121,21 @@ def align(prints: DataFrame, is_query: Column) -> DataFrame:
     return rows.join(found, ["h1", "h2"]).select("id", "fingerprint", F.size("fingerprint").cast("long").alias("n_codes"), "class_id", "m.query_id", F.col("m.offset").cast("long").alias("offset"), (-F.col("m.less")).alias("votes"), "m.bit_error")
 
 
-def sonify(vectors: DataFrame) -> DataFrame:
-    """(id, pcm) from (id, embedding): one note of 512 samples for each number, its pitch class by where the number falls among a normal variable's twelfths. A null or empty vector is an empty recording."""
+def sonify(vector: list[float] | None) -> bytes:
+    """A recording of a vector: one note of 512 samples for each number, its pitch class by where the number falls among a normal variable's twelfths."""
+    import math
 
-    def run(batches: Iterator) -> Iterator:
-        import math
+    import numpy as np
 
-        import numpy as np
-        import pyarrow as pa
+    x = np.nan_to_num(np.array(vector or [], "f8"))
+    spread = float(np.sqrt((x**2).mean())) if len(x) else 0.0
+    rank = np.array([0.5 * (1 + math.erf(y / spread / math.sqrt(2))) if spread else 0.5 for y in x])
+    return _tones()[np.minimum((12 * rank).astype(int), 11)].tobytes()
 
-        t = np.arange(HOP) / RATE
-        tones = np.stack([12000 * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) + 6000 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in range(12)]).astype("<i2")
-        for batch in batches:
-            pcm = []
-            for v in batch.column(1).to_pylist():
-                x = np.nan_to_num(np.array(v or [], "f8"))
-                spread = float(np.sqrt((x**2).mean())) if len(x) else 0.0
-                rank = np.array([0.5 * (1 + math.erf(y / spread / math.sqrt(2))) if spread else 0.5 for y in x])
-                pcm.append(tones[np.minimum((12 * rank).astype(int), 11)].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pcm, pa.binary())], ["id", "pcm"])
-
-    return vectors.mapInArrow(run, "id long, pcm binary")
+
+@cache
+def _tones():
+    import numpy as np
+
+    t = np.arange(HOP) / RATE
+    return np.stack([12000 * np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) + 6000 * np.sin(2 * np.pi * 440 * 2 ** (k / 12) * t) for k in range(12)]).astype("<i2")

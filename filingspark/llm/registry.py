@@ -62,7 +62,7 @@ def op8_harmonic_packing(spark, sf_dir):
 
 def op9_chroma_audio(spark, sf_dir):
     vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")
-    prints = audio.fingerprints(audio.sonify(vectors), "id", "pcm")
+    prints = audio.fingerprints(vectors, "id", "embedding", audio.sonify)
     found = audio.align(prints, F.col("id") % 50 == 0)
     digest = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256).alias("fingerprint_sha256")
     return found.select(F.col("id").alias("vec_id"), "n_codes", digest, "class_id", "query_id", "offset", "votes", "bit_error")
