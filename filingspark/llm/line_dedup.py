@@ -107,11 +107,11 @@ def later_matches(docs: DataFrame, least: int = LEAST, broadcast_rows: int = 500
 
     open_ = classes.join(settled.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("done", F.col("done").isNotNull())
     words = index(open_.select("doc_id", "line_no", "n", "b1", "b2", "done", "prefix"), "prefix")
-    # one exchange serves both sides
-    words = words.repartition("word")
+    # One exchange serves both sides: the test of b names a as well, or Spark would filter b before its exchange.
     a, b = words.alias("a"), words.alias("b")
+    unsettled = ~F.col("b.done") | (F.col("a.n") < 0)
     earlier = F.expr("a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & ~F.col("b.done") & earlier & _similar("a", "b")).select(*ids).distinct()
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids).distinct()
     more = _verified(docs, cut(pairs), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
     return again.union(settled).union(more).distinct()
 
