@@ -42,7 +42,7 @@ def cuts(buf, starts):
 
 
 class ChunkEncoder:
-    def __init__(self, path: str, chunks: int = 40_000, seams: int = 200_000):
+    def __init__(self, path: str, chunks: int = 20_000, seams: int = 40_000):
         self.words: WordTable = table(path)
         self.chunks, self.seams = Recent(chunks), Recent(seams)
 
@@ -126,7 +126,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         encoder = _ENCODERS[tokenizer_path]
         tokens = np.array(encoder.words.tokens, dtype=object)
         for batch in batches:
-            for start, texts in portions(batch.column(1)):
+            for start, texts in portions(batch.column(1), 6_000_000):
                 ids = encoder.encode(texts)
                 decoded = [" ".join(tokens[np.frombuffer(x, "<u4")].tolist()) for x in ids]
                 columns = [batch.column(0).slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
