@@ -7,7 +7,7 @@ and lines without a doc_id, stay and take nothing away.
 Words are ordered by rarity: by the frequency of their bucket, of 65,536, then by hash; any common order gives the
 same result. Equal sets are one class, and only its first line looks for partners. Two sets that are similar share a
 word of their prefixes. Pairs with such a word must pass the length filter, the positional filter and a bitmap filter
-(differing bits of two bitmaps of the sets can't outnumber the sets' differing words), and then an exact count of their
+(each word flips one bit of its set's bitmap, so differing bits can't outnumber differing words), and then an exact count of their
 common words. So that a large group of near copies doesn't give all its pairs, each class first meets only the
 earliest class with one of its three rarest words; only those not settled so meet all the others.
 """
@@ -46,7 +46,7 @@ def rarity(docs: DataFrame) -> Column:
 
 
 def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, line_no, n, h1, h2, prefix, b1, b2) of each line of ``least`` words or more; h1 and h2 tell the sets apart.
+    """(doc_id, line_no, n, h1, h2, prefix, bits) of each line of ``least`` words or more; h1 and h2 tell the sets apart.
 
     The prefix has 32-bit hashes: a collision adds a candidate pair, which the exact count rejects.
     """
@@ -55,7 +55,6 @@ def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
     key = lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), 47).bitwiseOR(h.bitwiseAND(low))
     lines = _lines(docs).withColumn("hashes", F.array_distinct(_hashes(F.col("line")))).where(F.size("hashes") >= least)
     lines = lines.select("doc_id", "line_no", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"))
-    bits = "aggregate(keys, 0L, (a, k) -> a | if((k & 64L) = {}, shiftleft(1L, cast(k & 63L as int)), 0L))"
     return lines.select(
         "doc_id",
         "line_no",
@@ -63,19 +62,25 @@ def signatures(docs: DataFrame, least: int = LEAST) -> DataFrame:
         F.xxhash64("keys").alias("h1"),
         F.xxhash64(F.lit(1), "keys").alias("h2"),
         F.transform(F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)"), lambda k: F.hash(k)).alias("prefix"),
-        F.expr(bits.format("0L")).alias("b1"),
-        F.expr(bits.format("64L")).alias("b2"),
+        F.expr("aggregate(keys, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63L as int)))").alias("bits"),
     )
 
 
+def _index(classes: DataFrame, prefix, done: Column) -> DataFrame:
+    """A row for each word of a class's prefix: (doc_id, line_no, bits, at, word). ``at`` packs n, the word's position from 0, and ``done``, as this table is the largest that is shuffled."""
+    rows = classes.select("doc_id", "line_no", "n", "bits", done.cast("long").alias("done"), F.posexplode(prefix).alias("pos", "word"))
+    at = F.expr("shiftleft(cast(n as long), 32) | shiftleft(cast(pos as long), 1) | done")
+    return rows.select("doc_id", "line_no", "bits", at.alias("at"), "word")
+
+
 def _similar(a: str, b: str) -> Column:
-    """The filters for two classes that share a prefix word; pos counts from 0."""
-    c = lambda side, name: F.col(f"{side}.{name}")
-    n = c(a, "n") + c(b, "n")
-    common = F.expr(f"(4 * ({a}.n + {b}.n) + 8) div 9")
-    left = F.least(c(a, "n") - c(a, "pos"), c(b, "n") - c(b, "pos"))
-    differing = F.bit_count(c(a, "b1").bitwiseXOR(c(b, "b1"))) + F.bit_count(c(a, "b2").bitwiseXOR(c(b, "b2")))
-    return (5 * c(a, "n") >= 4 * c(b, "n")) & (5 * c(b, "n") >= 4 * c(a, "n")) & (left >= common) & (differing <= n - 2 * common)
+    """The filters for two classes that share a prefix word."""
+    n = lambda side: F.shiftright(f"{side}.at", 32)
+    left = lambda side: n(side) - F.shiftright(F.col(f"{side}.at").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    both = n(a) + n(b)
+    common = F.floor((4 * both + 8) / 9)
+    differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+    return (5 * n(a) >= 4 * n(b)) & (5 * n(b) >= 4 * n(a)) & (F.least(left(a), left(b)) >= common) & (differing <= both - 2 * common)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -92,24 +97,22 @@ def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFra
 def later_matches(docs: DataFrame, least: int = LEAST, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, line_no), line numbers from 0: the lines that go. Rows that repeat a doc_id lose the same line numbers."""
     lines = cut(signatures(docs, least))
-    one = F.min(F.struct("doc_id", "line_no", "n", "prefix", "b1", "b2")).alias("one")
+    one = F.min(F.struct("doc_id", "line_no", "n", "prefix", "bits")).alias("one")
     classes = cut(lines.groupBy("h1", "h2").agg(one).select("h1", "h2", "one.*"))
     again = lines.join(classes.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l")), ["h1", "h2"]).where("doc_id <> d or line_no <> l").select("doc_id", "line_no")
 
-    def index(of: DataFrame, prefix) -> DataFrame:
-        return of.select("*", F.posexplode(prefix).alias("pos", "word")).drop("prefix")
-
-    rare = index(classes, F.slice("prefix", 1, 3))
-    first = F.first(F.struct("doc_id", "line_no", "n", "pos", "b1", "b2")).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
-    met = rare.select(F.struct("doc_id", "line_no", "n", "pos", "b1", "b2").alias("b"), first.alias("a")).where("a.doc_id <> b.doc_id or a.line_no <> b.line_no").where(_similar("a", "b"))
+    rare = _index(classes, F.slice("prefix", 1, 3), F.lit(0))
+    row = F.struct("doc_id", "line_no", "bits", "at")
+    first = F.first(row).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
+    met = rare.select(row.alias("b"), first.alias("a")).where("a.doc_id <> b.doc_id or a.line_no <> b.line_no").where(_similar("a", "b"))
     ids = [F.col("a.doc_id").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.line_no").alias("line_b")]
     settled = cut(_verified(docs, cut(met.select(*ids).distinct()), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")).distinct())
 
-    open_ = classes.join(settled.withColumn("done", F.lit(True)), ["doc_id", "line_no"], "left").withColumn("done", F.col("done").isNotNull())
-    words = index(open_.select("doc_id", "line_no", "n", "b1", "b2", "done", "prefix"), "prefix")
+    open_ = classes.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
+    words = _index(open_, "prefix", F.coalesce("done", F.lit(0)))
     # One exchange serves both sides: the test of b names a as well, or Spark would filter b before its exchange.
     a, b = words.alias("a"), words.alias("b")
-    unsettled = ~F.col("b.done") | (F.col("a.n") < 0)
+    unsettled = (F.col("b.at").bitwiseAND(F.lit(1)) == 0) | (F.col("a.at") < 0)
     earlier = F.expr("a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)")
     pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids).distinct()
     more = _verified(docs, cut(pairs), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
