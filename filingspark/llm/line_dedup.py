@@ -73,14 +73,18 @@ def _index(classes: DataFrame, prefix, done: Column) -> DataFrame:
     return rows.select("doc_id", "line_no", "bits", at.alias("at"), "word")
 
 
+def _apart(a: str, b: str) -> Column:
+    """At most the number of words that only one of the two sets has."""
+    return F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
+
+
 def _similar(a: str, b: str) -> Column:
     """The filters for two classes that share a prefix word."""
     n = lambda side: F.shiftright(f"{side}.at", 32)
     left = lambda side: n(side) - F.shiftright(F.col(f"{side}.at").bitwiseAND(F.lit((1 << 32) - 1)), 1)
     both = n(a) + n(b)
     common = F.floor((4 * both + 8) / 9)
-    differing = F.bit_count(F.col(f"{a}.bits").bitwiseXOR(F.col(f"{b}.bits")))
-    return (5 * n(a) >= 4 * n(b)) & (5 * n(b) >= 4 * n(a)) & (F.least(left(a), left(b)) >= common) & (differing <= both - 2 * common)
+    return (5 * n(a) >= 4 * n(b)) & (5 * n(b) >= 4 * n(a)) & (F.least(left(a), left(b)) >= common) & (_apart(a, b) <= both - 2 * common)
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
@@ -114,8 +118,12 @@ def later_matches(docs: DataFrame, least: int = LEAST, broadcast_rows: int = 500
     a, b = words.alias("a"), words.alias("b")
     unsettled = (F.col("b.at").bitwiseAND(F.lit(1)) == 0) | (F.col("a.at") < 0)
     earlier = F.expr("a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids).distinct()
-    more = _verified(docs, cut(pairs), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
+    pairs = cut(a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids, _apart("a", "b").alias("apart")).distinct())
+    # One match settles a line: the partner that seems closest is verified first, all others only where it isn't similar.
+    closest = pairs.groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("one")).select("one.doc_a", "one.line_a", "doc_b", "line_b")
+    sure = cut(_verified(docs, cut(closest), broadcast_rows).select("doc_b", "line_b"))
+    others = pairs.drop("apart").join(sure, ["doc_b", "line_b"], "left_anti").join(closest, ["doc_a", "line_a", "doc_b", "line_b"], "left_anti")
+    more = sure.union(_verified(docs, cut(others), broadcast_rows).select("doc_b", "line_b")).toDF("doc_id", "line_no")
     return again.union(settled).union(more).distinct()
 
 
