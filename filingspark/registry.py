@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import queries_market, queries_metrics, queries_panel
+from . import queries_joins, queries_market, queries_metrics, queries_panel
 from .views import portable
 
-_MODULES = (queries_market, queries_panel, queries_metrics)
+_MODULES = (queries_market, queries_panel, queries_metrics, queries_joins)
 
 
 def queries() -> dict[str, Callable]:
