@@ -26,10 +26,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return documents_of(docs).where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def _words(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.lower(line), " "), ""))
-
-
 def _hashes(line: Column) -> Column:
     """The hashes of all words, repeats included."""
     return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
@@ -37,7 +33,8 @@ def _hashes(line: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """An array literal with each bucket's rank by frequency. At most 65,536 counts come to the driver."""
-    counts = _lines(docs).select(F.explode(_hashes(F.col("line"))).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(_BUCKETS - 1)).alias("bucket")).count()
+    words = documents_of(docs).where("doc_id is not null and text is not null").select(F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("bucket")).count()
     found = {r.bucket: r["count"] for r in counts.collect()}
     rank = [0] * _BUCKETS
     for i, bucket in enumerate(sorted(range(_BUCKETS), key=lambda b: (found.get(b, 0), b))):
@@ -88,10 +85,10 @@ def _similar(a: str, b: str) -> Column:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
-    """Of pairs (doc_a, line_a, doc_b, line_b), those whose words have a Jaccard similarity of 0.8 or more. Only their lines are read again."""
+    """Of pairs (doc_a, line_a, doc_b, line_b), those whose words, told apart by 64-bit hashes, have a Jaccard similarity of 0.8 or more. Only their lines are read again."""
     wanted = cut(pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct())
     texts = _lines(docs).join(small_side(wanted, broadcast_rows), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
-    sets = cut(texts.select("doc_id", "line_no", _words(F.col("line")).alias("words")))
+    sets = cut(texts.select("doc_id", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words")))
     side = lambda s: sets.select(F.col("doc_id").alias(f"doc_{s}"), F.col("line_no").alias(f"line_{s}"), F.col("words").alias(f"words_{s}"))
     both = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
