@@ -7,7 +7,7 @@ and lines without a doc_id, stay and take nothing away.
 Words are ordered by rarity: by the frequency of their bucket, of 65,536, then by hash; any common order gives the
 same result. Equal sets are one class, and only its first line looks for partners. Two sets that are similar share a
 word of their prefixes. Pairs with such a word must pass the length filter, the positional filter and a bitmap filter
-(each word flips one bit of its set's bitmap, so differing bits can't outnumber differing words), and then an exact count of their
+(each word flips one bit of its set's bitmap, so differing bits can't outnumber differing words), a wider bitmap, and an exact count of their
 common words. So that a large group of near copies doesn't give all its pairs, each class first meets only the
 earliest class with one of its three rarest words; only those not settled so meet all the others.
 """
@@ -20,6 +20,7 @@ from ._util import cut, documents_of, small_side
 
 LEAST = 5
 _BUCKETS = 1 << 16
+_WIDE = 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -84,13 +85,25 @@ def _similar(a: str, b: str) -> Column:
     return (5 * n(a) >= 4 * n(b)) & (5 * n(b) >= 4 * n(a)) & (F.least(left(a), left(b)) >= common) & (_apart(a, b) <= both - 2 * common)
 
 
+def _parity(i: int) -> Column:
+    """The ``i``-th 64 of the bits that the words of a set flip."""
+    return F.expr(f"aggregate(words, 0L, (a, w) -> if((w >> 32) & {_WIDE - 1} = {i}, a ^ shiftleft(1L, cast(w & 63 as int)), a))")
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """Of pairs (doc_a, line_a, doc_b, line_b), those whose words, told apart by 64-bit hashes, have a Jaccard similarity of 0.8 or more. Only their lines are read again."""
     wanted = cut(pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct())
     texts = _lines(docs).join(small_side(wanted, broadcast_rows), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
     sets = cut(texts.select("doc_id", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words")))
-    side = lambda s: sets.select(F.col("doc_id").alias(f"doc_{s}"), F.col("line_no").alias(f"line_{s}"), F.col("words").alias(f"words_{s}"))
-    both = pairs.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
+    place = lambda s: [F.col("doc_id").alias(f"doc_{s}"), F.col("line_no").alias(f"line_{s}")]
+    # 512 bits still tell long lines apart, where the index's 64 no longer do; few pairs are left that need their words.
+    wide = lambda s: sets.select(*place(s), F.size("words").alias(f"n_{s}"), *(_parity(i).alias(f"{s}{i}") for i in range(_WIDE)))
+    met = pairs.join(wide("a"), ["doc_a", "line_a"]).join(wide("b"), ["doc_b", "line_b"])
+    apart = sum(F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(_WIDE))
+    total = F.col("n_a") + F.col("n_b")
+    near = cut(met.where(apart <= total - 2 * F.floor((4 * total + 8) / 9)).select("doc_a", "line_a", "doc_b", "line_b"))
+    side = lambda s: sets.select(*place(s), F.col("words").alias(f"words_{s}"))
+    both = near.join(side("a"), ["doc_a", "line_a"]).join(side("b"), ["doc_b", "line_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     return both.where(9 * shared >= 4 * (F.size("words_a") + F.size("words_b"))).select("doc_a", "line_a", "doc_b", "line_b")
 
@@ -115,12 +128,8 @@ def later_matches(docs: DataFrame, least: int = LEAST, broadcast_rows: int = 500
     a, b = words.alias("a"), words.alias("b")
     unsettled = (F.col("b.at").bitwiseAND(F.lit(1)) == 0) | (F.col("a.at") < 0)
     earlier = F.expr("a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)")
-    pairs = cut(a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids, _apart("a", "b").alias("apart")).distinct())
-    # One match settles a line: the partner that seems closest is verified first, all others only where it isn't similar.
-    closest = pairs.groupBy("doc_b", "line_b").agg(F.min(F.struct("apart", "doc_a", "line_a")).alias("one")).select("one.doc_a", "one.line_a", "doc_b", "line_b")
-    sure = cut(_verified(docs, cut(closest), broadcast_rows).select("doc_b", "line_b"))
-    others = pairs.drop("apart").join(sure, ["doc_b", "line_b"], "left_anti").join(closest, ["doc_a", "line_a", "doc_b", "line_b"], "left_anti")
-    more = sure.union(_verified(docs, cut(others), broadcast_rows).select("doc_b", "line_b")).toDF("doc_id", "line_no")
+    pairs = cut(a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids).distinct())
+    more = _verified(docs, pairs, broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
     return again.union(settled).union(more).distinct()
 
 
