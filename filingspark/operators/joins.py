@@ -72,3 +72,11 @@ def search_hits(df: DataFrame, column: str) -> DataFrame:
     blank = F.coalesce(F.col("adsh"), F.lit("")) == ""
     one = dedup_keep(h.where(~blank), ["adsh"], [F.col("file_date"), F.col("cik")]).unionByName(h.where(blank))
     return one.withColumn("file_date", F.try_to_timestamp("file_date", F.lit("yyyy-MM-dd")).cast("date")).where("cik is not null and file_date is not null")
+
+
+def short_interest(df: DataFrame, interest: DataFrame) -> DataFrame:
+    """df with the short interest of exactly its ticker and filing date, NULL where there is none; df as it is where ``interest`` lacks a column."""
+    names = ["ticker", "filing_date", "short_interest"]
+    if not set(names) <= set(interest.columns):
+        return df
+    return df.join(dedup_keep(interest.select(*names), names[:2], [F.col("short_interest")]), names[:2], "left")

@@ -84,3 +84,11 @@ def gate(metrics: DataFrame, a: str, b: str, margin: float, min_wins: int = 3) -
     wide = metrics.groupBy("outcome").pivot("model", [a, b]).agg(F.first("value"))
     wins = F.count_if(F.col(a) - F.col(b) >= margin)
     return wide.agg(wins.alias("wins"), F.count("*").alias("outcomes"), (wins >= min_wins).alias("passed"))
+
+
+def walk_forward_summary(folds: DataFrame, a: str, b: str, flagged: Sequence[int]) -> DataFrame:
+    """folds (outcome, model, fold, value): of the folds that both models have, how many ``a`` wins, all and flagged ones, and its lead."""
+    wide = folds.groupBy("outcome", "fold").pivot("model", [a, b]).agg(F.first("value"))
+    lead = wide.select("outcome", "fold", (F.col(a) - F.col(b)).alias("delta")).where("delta is not null")
+    won = F.col("delta") > 0
+    return lead.groupBy("outcome").agg(F.count("*").alias("n_folds"), F.count_if(won).alias("folds_won"), F.count_if(won & F.col("fold").isin(list(flagged))).alias("flagged_won"), F.avg("delta").alias("mean_delta"), F.min("delta").alias("min_delta"), F.max("delta").alias("max_delta"))

@@ -9,6 +9,7 @@ from .functions.exprs import portable_uniform
 from .operators import joins as J
 from .operators import panel as P
 from .plans import splits as S
+from .sources import landed
 from .views import FEATURES, view
 
 _COLS = ("total_assets", "total_equity", "net_income")
@@ -124,6 +125,18 @@ def search_hits_extract(spark, sf):
     return J.search_hits(f.select(F.to_json(F.struct(adsh.alias("adsh"), F.array(F.col("cik"), F.lit("x")).alias("ciks"), date.alias("file_date"))).alias("hit")), "hit")
 
 
+def submissions_meta(spark, sf):
+    c = view(spark, sf, "company")
+    state = F.when(F.col("custkey") % 5 == 0, "").otherwise(F.col("state"))
+    doc = F.to_json(F.struct(F.col("custkey").alias("cik"), F.col("entity_name").alias("name"), F.col("sic_code").alias("sic"), state.alias("state"), F.col("exchange").alias("category"), F.lit("1231").alias("fiscal_year_end")))
+    return landed.parse_submissions(c.select(doc.alias("doc")), "doc", ("name", "sic", "state", "category", "fiscal_year_end"))
+
+
+def short_interest_join(spark, sf):
+    interest = view(spark, sf, "price").select("ticker", F.col("dt").alias("filing_date"), F.col("volume").alias("short_interest"))
+    return J.short_interest(view(spark, sf, "grid").select("cik", "ticker", "filing_date"), interest)
+
+
 def _u(*parts):
     return "('0x' || substr(md5(" + " || '|' || ".join(parts) + "), 1, 8))::ubigint / 4294967296.0"
 
@@ -132,6 +145,8 @@ _SPLIT = "case when period_end <= date '1997-12-31' then 'train' when period_end
 _YEAR = "d as (select cik, cast(year(period_end) as int) as year, period_end, period_end - cast(cast(cik as int) % 20 as int) as label_end, cast(cik as int) % 20 as apart from {panel})"
 _HIT = {c: f"{_u('cik', 'cast(fiscal_year as string)', repr(c), repr('5'))} < 0.3" for c in _COLS}
 QUERIES = {
+    "submissions_meta": (submissions_meta, "select cik, entity_name as name, sic_code as sic, case when custkey % 5 <> 0 then state end as state, exchange as category, '1231' as fiscal_year_end from {company}"),
+    "short_interest_join": (short_interest_join, "select g.cik, g.ticker, g.filing_date, p.volume as short_interest from {grid} g left join {price} p on g.ticker = p.ticker and g.filing_date = p.dt"),
     "ticker_map": (ticker_map, "select p.cik, fiscal_year, ticker from {panel} p left join {company} c on p.cik = c.cik"),
     "sic_join": (sic_join, "select p.cik, fiscal_year, case when custkey % 4 <> 0 then sic_code end as sic_code from {panel} p left join {company} c on p.cik = c.cik"),
     "crossref_merge": (crossref_merge, "with v as (select lpad(cast(custkey as string), 6, '0') as gvkey, case when custkey % 2 <> 0 then cik end as vcik, ticker as tic from {company} where custkey % 3 = 0), f as (select tic, min(gvkey) as gvkey from v group by 1) select c.cik, c.ticker, coalesce(v.gvkey, f.gvkey) as gvkey, case when v.gvkey is not null then 'cik' when f.gvkey is not null then 'ticker' end as matched from {company} c left join v on c.cik = v.vcik left join f on c.ticker = f.tic"),

@@ -70,6 +70,12 @@ def multiseed_summary(spark, sf):
     return r6(a.groupBy("outcome", "model").agg(F.avg("auroc").alias("mean"), F.stddev_pop("auroc").alias("std")), "mean", "std")
 
 
+def walk_forward_summary(spark, sf):
+    p = _pred(spark, sf).withColumn("fold", F.col("row_id") % 3)
+    a = X.ranking(p, ["outcome", "model", "fold"]).withColumnRenamed("auroc", "value")
+    return r6(X.walk_forward_summary(a, "a", "b", [0]), "mean_delta", "min_delta", "max_delta")
+
+
 def class_balance(spark, sf):
     a = _pred(spark, sf).where("model = 'a'").groupBy("outcome").agg(F.count_if(F.col("y") == 1).alias("n_pos"), F.count_if(F.col("y") == 0).alias("n_neg"))
     return a.select("*", F.round(F.col("n_neg") / F.greatest("n_pos", F.lit(1)), 6).alias("pos_weight"), (F.col("n_pos") < 20).cast("int").alias("skipped"))
@@ -91,5 +97,6 @@ QUERIES = {
     "pairwise_ci": (pairwise_ci, f"with {_CELLS}, {_AUROC}, {_SE} select a.outcome, round(a.auroc - b.auroc, 6) as delta, round(sqrt(a.se * a.se + b.se * b.se), 6) as se, cast(abs(a.auroc - b.auroc) > 1.96 * sqrt(a.se * a.se + b.se * b.se) as int) as significant from se a join se b on a.outcome = b.outcome where a.model = 'a' and b.model = 'b'"),
     "gate": (gate, f"with {_CELLS}, {_AUROC} select count(*) filter (a.auroc - b.auroc >= 0) as wins, count(*) as outcomes, cast(count(*) filter (a.auroc - b.auroc >= 0) >= 3 as int) as passed from auroc a join auroc b on a.outcome = b.outcome where a.model = 'a' and b.model = 'b'"),
     "multiseed_summary": (multiseed_summary, f"with {_SEED} select outcome, model, round(avg(auroc), 6) as mean, round(stddev_pop(auroc), 6) as std from a group by 1, 2"),
+    "walk_forward_summary": (walk_forward_summary, f"with {_SEED}, d as (select x.outcome, x.seed, x.auroc - y.auroc as delta from a x join a y on x.outcome = y.outcome and x.seed = y.seed where x.model = 'a' and y.model = 'b') select outcome, count(*) as n_folds, count(*) filter (delta > 0) as folds_won, count(*) filter (delta > 0 and seed = 0) as flagged_won, round(avg(delta), 6) as mean_delta, round(min(delta), 6) as min_delta, round(max(delta), 6) as max_delta from d where delta is not null group by 1"),
     "class_balance": (class_balance, "select outcome, count(*) filter (y = 1) as n_pos, count(*) filter (y = 0) as n_neg, round(count(*) filter (y = 0) / cast(greatest(count(*) filter (y = 1), 1) as double), 6) as pos_weight, cast(count(*) filter (y = 1) < 20 as int) as skipped from {pred} where model = 'a' group by 1"),
 }

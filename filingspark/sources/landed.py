@@ -64,3 +64,9 @@ def read_with_provenance(spark: SparkSession, path: str) -> tuple[DataFrame, dic
     if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return df, {}
     return df, spark.read.json(where).first().asDict()
+
+
+def parse_submissions(docs: DataFrame, column: str, fields: Sequence[str]) -> DataFrame:
+    """The company number and the named text fields of each submissions document; empty texts are NULL."""
+    d = docs.select(F.from_json(column, ", ".join(f"`{f}` string" for f in ("cik", *fields))).alias("d"))
+    return d.select(normalize_key(F.col("d.cik")).alias("cik"), *(F.nullif(F.col("d")[f], F.lit("")).alias(f) for f in fields))
