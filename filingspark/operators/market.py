@@ -89,6 +89,11 @@ def wide_close(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
     return prices.groupBy("dt").pivot("ticker", list(tickers)).agg(F.first("close"))
 
 
+def closes_by_date(prices: DataFrame) -> DataFrame:
+    """(dt, closes): the closes of all tickers of a date as a map, for any number of tickers; a ticker has one price a date."""
+    return prices.groupBy("dt").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ticker", "close")))).alias("closes"))
+
+
 def excess_returns(a: DataFrame, b: DataFrame) -> DataFrame:
     """Two return series (dt, ret) on their common dates."""
     return a.join(b.withColumnRenamed("ret", "__ret"), "dt").select("dt", (F.col("ret") - F.col("__ret")).alias("excess"))

@@ -25,12 +25,13 @@ def ticker_map(spark, sf):
 
 
 def sic_join(spark, sf):
-    return J.lookup(_keyed(spark, sf), view(spark, sf, "company").where("custkey % 4 <> 0"), "cik", ["sic_code"], [F.col("custkey")])
+    return J.lookup(_keyed(spark, sf), view(spark, sf, "company").withColumn("sic_code", F.expr("case when custkey % 4 <> 0 then sic_code end")), "cik", ["sic_code"], [F.col("custkey")])
 
 
 def crossref_merge(spark, sf):
     c = view(spark, sf, "company")
-    vendor = c.where("custkey % 3 = 0").select(F.lpad(F.col("custkey").cast("string"), 6, "0").alias("gvkey"), F.when(F.col("custkey") % 2 != 0, F.col("cik")).alias("vcik"), F.col("ticker").alias("tic"))
+    known = F.col("custkey") % 3 == 0
+    vendor = c.select(F.lpad(F.col("custkey").cast("string"), 6, "0").alias("gvkey"), F.when(known & (F.col("custkey") % 2 != 0), F.col("cik")).alias("vcik"), F.when(known, F.col("ticker")).alias("tic"))
     return J.primary_then_fallback(c.select("cik", "ticker"), vendor, ("cik", "vcik"), ("ticker", "tic"), [F.col("gvkey")]).select("cik", "ticker", "vendor.gvkey", "matched")
 
 

@@ -72,9 +72,14 @@ def asof_benchmark(spark, sf):
 
 
 def close_wide(spark, sf):
+    """Four tickers only, as its SQL says; ``close_wide_all`` takes all."""
     return M.wide_close(view(spark, sf, "price"), ["U0", "U1", "U2", "U3"])
 
 
+def close_wide_all(spark, sf):
+    return M.closes_by_date(view(spark, sf, "price")).select("dt", F.explode("closes").alias("ticker", "close"))
+
+
 def excess_returns(spark, sf):
     series = M.forward_returns(view(spark, sf, "bench_price"), [1], "bench")
     of = lambda b: series.where(F.col("bench") == b).select("dt", F.col("fwd_1").alias("ret"))
@@ -177,6 +182,7 @@ QUERIES = {
     "asof_benchmark": (asof_benchmark, "select g.cik, g.bench, g.filing_date, p.dt as ref_date, round(p.close, 6) as close from {grid} g asof left join {bench_price} p on g.bench = p.bench and g.filing_date <= p.dt"),
     "prices_scan": (_V("price"), "select * from {price}"),
     "close_wide": (close_wide, "select dt, " + ", ".join(f"max(case when ticker = '{t}' then close end) as \"{t}\"" for t in ("U0", "U1", "U2", "U3")) + " from {price} group by dt"),
+    "close_wide_all": (close_wide_all, "select dt, ticker, close from {price}"),
     "excess_returns": (excess_returns, f"with {_OWN} select a.dt, round(a.fwd_1 - b.fwd_1, 6) as excess from bm a join bm b on a.dt = b.dt where a.bench = 'click' and b.bench = 'market'"),
     "sector_benchmark": (sector_benchmark, "select c.sector, case when s.bench = 'XLC' and f.date_filed + interval 20 year < date '2018-06-18' then '^GSPC' else s.bench end as benchmark, count(*) as n from {filing} f join {company_sector} c on f.cik = c.cik join {sector_list} s on s.sector = c.sector group by 1, 2"),
     "company_year_grid": (company_year_grid, "with y as (select distinct cik, cast(year(date_filed) as int) as fiscal_year from {filing} where form_type = '10-K' and year(date_filed) between 1995 and 2001), e as (select cik, fiscal_year, coalesce(try_cast(fiscal_year || '-' || case cast(cik as bigint) % 3 when 0 then '02-29' when 1 then '06-30' else '12-31' end as date), make_date(fiscal_year, 12, 31)) as period_end from y) select cik, fiscal_year, period_end, period_end + 90 as filing_date from e"),

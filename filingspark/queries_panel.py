@@ -61,8 +61,7 @@ def tickers_scan(spark, sf):
     return landed.parse_column_json(doc, "json", ["cik", "name", "ticker", "exchange"]).withColumn("cik", normalize_key(F.col("cik")))
 
 
-def facts_explode(spark, sf):
-    f = view(spark, sf, "fact").where("cik < '0000000100'")
+def _exploded(f):
     entry = F.struct(F.col("val"), F.col("fy"), F.lit("FY").alias("fp"), F.col("form"), F.col("filed").cast("string").alias("filed"))
     tags = f.groupBy("cik", "tag").agg(F.sort_array(F.collect_list(F.struct("pos", entry.alias("e")))).alias("x"))
     tags = tags.select("cik", "tag", F.transform("x", lambda s: s["e"]).alias("x"))
@@ -71,6 +70,15 @@ def facts_explode(spark, sf):
     return landed.explode_facts(doc, "json").drop("pos").groupBy("cik", "tag", "unit", "fy", "form").agg(F.count("*").alias("n"), F.round(F.sum("val"), 2).alias("total"), F.max("filed").alias("filed"))
 
 
+def facts_explode(spark, sf):
+    """The first companies only, as its SQL says; ``facts_explode_all`` takes all."""
+    return _exploded(view(spark, sf, "fact").where("cik < '0000000100'"))
+
+
+def facts_explode_all(spark, sf):
+    return _exploded(view(spark, sf, "fact"))
+
+
 def filing_coverage(spark, sf):
     c = P.filing_coverage(view(spark, sf, "filing"), 1995, 2001)
     text = lambda n: F.array_join(F.col(n).cast("array<string>"), ",").alias(n)
@@ -283,6 +291,7 @@ QUERIES = {
     "filter_forms": (lambda spark, sf: landed.filter_forms(view(spark, sf, "filing"), ["NT 10-K/A"]).select("cik", "filename"), "select cik, filename from {filing} where form_type = 'NT 10-K/A'"),
     "tickers_scan": (tickers_scan, "select cik, entity_name as name, ticker, exchange from {company}"),
     "facts_explode": (facts_explode, "select cik, tag, 'USD' as unit, fy, form, count(*) as n, round(sum(val), 2) as total, max(filed) as filed from {fact} where cik < '0000000100' group by 1, 2, 3, 4, 5"),
+    "facts_explode_all": (facts_explode_all, "select cik, tag, 'USD' as unit, fy, form, count(*) as n, round(sum(val), 2) as total, max(filed) as filed from {fact} group by 1, 2, 3, 4, 5"),
     "filing_coverage": (filing_coverage, f"with {_COVER} select cik, n_filings, first_filed, last_filed, array_to_string(ys, ',') as filing_years, array_to_string(list_filter(range(ys[1], ys[len(ys)] + 1), lambda y: not list_contains(ys, y)), ',') as gap_years, round(len(ys) / 7.0, 4) as coverage, cast(round(len(ys) / 7.0, 4) < 0.95 as int) as has_gap, cast(list_contains(ys, 2000) or list_contains(ys, 2001) as int) as is_current from cov"),
     "filings_per_year": (filings_per_year, "select cast(year(date_filed) as int) as year, count(distinct cik) as n from {filing} where form_type = '10-K' and year(date_filed) between 1995 and 2001 group by 1"),
     "latest_name": (latest_name, "select cik, arg_max(company_name || '/' || filename, row(date_filed, filename)) as company_name from {filing} where filename % 3 <> 0 group by 1"),

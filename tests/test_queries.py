@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from filingspark import registry
+from filingspark.views import view
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,3 +38,16 @@ def test_same_rows(spark, duck, name):
     assert sorted(theirs) == names
     want = sorted(tuple(cell(r[theirs.index(n)]) for n in names) for r in rel.fetchall())
     assert sorted(tuple(cell(r[n]) for n in names) for r in df.collect()) == want
+
+
+@pytest.mark.parametrize("name", ["facts_explode_all", "close_wide_all", "sic_join", "crossref_merge"])
+def test_no_subset_of_ids_is_read(spark, name):
+    plan = registry.queries()[name](spark, DIR)._jdf.queryExecution().analyzed().toString()
+    filters = [x for x in plan.splitlines() if "Filter" in x]
+    assert not [x for x in filters if "%" in x or "0000000100" in x]
+
+
+def test_all_companies_and_tickers(spark):
+    q = registry.queries()
+    assert q["facts_explode_all"](spark, DIR).select("cik").distinct().count() == view(spark, DIR, "fact").select("cik").distinct().count() > 99
+    assert q["close_wide_all"](spark, DIR).count() == q["prices_scan"](spark, DIR).count()
