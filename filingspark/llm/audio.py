@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import cut
 
@@ -98,27 +98,31 @@ def bit_error(a: Column, b: Column, offset: Column) -> Column:
 
 
 def align(prints: DataFrame, is_query: Column) -> DataFrame:
-    """For every row of (id, fingerprint): n_codes, class_id, and the query it aligns with best: query_id, offset, votes, bit_error.
+    """For every row of (id, fingerprint) n_codes, class_id, and a row for each query of another class it aligns with: query_id, offset, votes, bit_error, place.
 
     Rows with equal fingerprints are one class, named by its smallest id, and searched once; a query stands for its
-    class. Candidates are all classes that share two successive integers with a query; their votes are counted by
-    offset, ties go to the smaller offset. The best query has the lowest bit error, then the most votes, then the
-    smallest id. Rows without a candidate have nulls there, rows with empty fingerprints among them. Repeated rows and
-    ties give a row each; null ids are searched but name no class unless nothing else does. Empty tables give no rows.
+    class, by its smallest id, and isn't aligned with that class itself, which class_id tells. Every class that shares
+    two successive integers with a query aligns with it, at the offset with the most votes, then the longest overlap,
+    then the smallest. ``place`` numbers a row's queries from 1: the most votes, then the lowest bit error, then the
+    smallest id. Rows without an alignment have nulls there, rows with empty fingerprints among them. Repeated rows
+    give their alignments each; null ids are searched but name no class unless nothing else does. Empty tables give no
+    rows.
     """
     rows = cut(prints.select("id", "fingerprint", F.xxhash64("fingerprint").alias("h1"), F.xxhash64(F.lit(1), "fingerprint").alias("h2"), F.coalesce(is_query, F.lit(False)).alias("q")))
     classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("class_id"), F.min(F.when(F.col("q"), F.col("id"))).alias("query_id"), F.min("fingerprint").alias("codes")))
     pairs = F.transform(F.sequence(F.lit(0), F.size("codes") - 2), lambda i: F.struct(i.alias("at"), F.xxhash64(F.get("codes", i), F.get("codes", i + 1)).alias("key")))
-    index = classes.where(F.size("codes") >= 2).select("h1", "h2", "query_id", F.inline(pairs))
-    asked = index.where("query_id is not null").select("key", F.col("query_id").alias("query"), F.col("at").alias("q_at"))
-    votes = index.join(asked, "key").groupBy("h1", "h2", "query", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("h1", "h2", "query").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", -F.col("offset"))).alias("v")).select("h1", "h2", "query", "v.*")
+    index = classes.where(F.size("codes") >= 2).select("h1", "h2", "query_id", F.size("codes").alias("n"), F.inline(pairs))
+    asked = index.where("query_id is not null").select("key", F.col("query_id").alias("query"), F.col("at").alias("q_at"), F.col("n").alias("q_n"))
+    met = index.join(asked, "key").where(~F.col("query_id").eqNullSafe(F.col("query")))
+    votes = met.groupBy("h1", "h2", "query", "n", "q_n", (F.col("at") - F.col("q_at")).alias("offset")).agg(F.count("*").alias("votes"))
+    overlap = F.least(F.col("q_n"), F.col("n") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
+    best = votes.groupBy("h1", "h2", "query").agg(F.max_by(F.struct("offset", "votes"), F.struct("votes", overlap, -F.col("offset"))).alias("v")).select("h1", "h2", "query", "v.*")
     codes = classes.select("h1", "h2", "codes")
     asked = classes.where("query_id is not null").select(F.col("query_id").alias("query"), F.col("codes").alias("q_codes"))
-    measured = best.join(codes, ["h1", "h2"]).join(asked, "query").select("h1", "h2", F.struct(F.round(bit_error(F.col("q_codes"), F.col("codes"), F.col("offset")), 6).alias("bit_error"), (-F.col("votes")).alias("less"), F.col("query").alias("query_id"), "offset").alias("m"))
-    nearest = measured.groupBy("h1", "h2").agg(F.min("m").alias("m"))
-    found = classes.select("h1", "h2", "class_id").join(nearest, ["h1", "h2"], "left")
-    return rows.join(found, ["h1", "h2"]).select("id", "fingerprint", F.size("fingerprint").cast("long").alias("n_codes"), "class_id", "m.query_id", F.col("m.offset").cast("long").alias("offset"), (-F.col("m.less")).alias("votes"), "m.bit_error")
+    measured = best.join(codes, ["h1", "h2"]).join(asked, "query").select("h1", "h2", F.col("query").alias("query_id"), F.col("offset").cast("long").alias("offset"), "votes", F.round(bit_error(F.col("q_codes"), F.col("codes"), F.col("offset")), 6).alias("bit_error"))
+    measured = measured.withColumn("place", F.row_number().over(Window.partitionBy("h1", "h2").orderBy(F.desc("votes"), "bit_error", "query_id")).cast("long"))
+    found = classes.select("h1", "h2", "class_id").join(measured, ["h1", "h2"], "left")
+    return rows.join(found, ["h1", "h2"]).select("id", "fingerprint", F.size("fingerprint").cast("long").alias("n_codes"), "class_id", "query_id", "offset", "votes", "bit_error", "place")
 
 
 def sonify(vector: list[float] | None) -> bytes:

@@ -65,7 +65,7 @@ def op9_chroma_audio(spark, sf_dir):
     prints = audio.fingerprints(vectors, "id", "embedding", audio.sonify)
     found = audio.align(prints, F.col("id") % 50 == 0)
     digest = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256).alias("fingerprint_sha256")
-    return found.select(F.col("id").alias("vec_id"), "n_codes", digest, "class_id", "query_id", "offset", "votes", "bit_error")
+    return found.select(F.col("id").alias("vec_id"), "n_codes", digest, "class_id", "query_id", "offset", "votes", "bit_error", "place")
 
 
 def op10_fingerprints(spark, sf_dir):

@@ -224,6 +224,35 @@ def test_audio_finds_shifted_and_noisy_recordings(spark):
     assert got[3].query_id is None and got[4].query_id is None and got[5].n_codes == 0
 
 
+def test_audio_keeps_every_alignment(spark):
+    r = np.random.default_rng(3)
+    tunes = [np.frombuffer(audio.sonify(r.normal(0, 1, 64).tolist()), "<i2") for _ in range(3)]
+    noisy = lambda x: (x + r.normal(0, 500, len(x))).astype("<i2")
+    half = len(tunes[0]) // 2
+    pcm = {50: tunes[0], 100: noisy(tunes[0]), 150: tunes[1], 1: noisy(tunes[0]), 2: np.concatenate([tunes[0][half:], tunes[1]]), 3: tunes[1], 4: tunes[2], 200: tunes[1][5 * audio.HOP :]}
+    # a query that shares only the last three integers of a noisy copy, without a bit error
+    codes = {i: audio.fingerprint(x.tobytes()).tolist() for i, x in pcm.items()}
+    codes[250] = codes[1][-3:] + r.integers(0, 1 << 31, 40).tolist()
+    df = spark.createDataFrame(list(codes.items()), "id long, fingerprint array<int>")
+    first = {}
+    for i in sorted(codes):
+        if i % 50 == 0:
+            first.setdefault(tuple(codes[i]), i)
+    want = {}
+    for q_codes, q in first.items():
+        for i, c in codes.items():
+            if tuple(c) != q_codes:
+                votes = {o: sum(q_codes[k : k + 2] == tuple(c[k + o : k + o + 2]) for k in range(max(0, -o), min(len(q_codes), len(c) - o) - 1)) for o in range(-len(q_codes), len(c))}
+                best = max(votes, key=lambda o: (votes[o], min(len(q_codes), len(c) - o) - max(0, -o), -o))
+                if votes[best]:
+                    want[i, q] = (best, votes[best])
+    got = audio.align(df, F.col("id") % 50 == 0).collect()
+    assert {(x.id, x.query_id): (x.offset, x.votes) for x in got if x.query_id is not None} == want
+    assert {x.id for x in got} == set(codes) and len(got) == len(want) + len(set(codes) - {i for i, _ in want})
+    assert {(100, 50), (50, 100), (2, 50), (2, 150), (1, 250)} <= set(want)
+    assert {x.query_id for x in got if x.id == 1 and x.place == 1} <= {50, 100} and {x.class_id for x in got if x.id in (3, 150)} == {3}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
     path = vocabulary("word_bpe_49k.json")
