@@ -1,9 +1,12 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its lower-cased words. A line goes if an earlier one, by doc_id and line number, has a Jaccard
+A line is the set of its lower-cased words, which any white space parts. A line goes if an earlier one, by doc_id and line number, has a Jaccard
 similarity of at least 0.8 with it, whether that one goes itself or not. Lines of fewer than ``least`` different words,
 and lines without a doc_id, stay and take nothing away.
 
+The registered query and the pipeline take every line with a word (``least`` 1). Sets of fewer than four words are
+similar only where they are equal, so these lines are settled as classes and stay out of the join.
+
 Words are ordered by rarity: by the frequency of their bucket, of 65,536, then by hash; any common order gives the
 same result. Equal sets are one class, and only its first line looks for partners. Two sets that are similar share a
 word of their prefixes. Pairs with such a word must pass the length filter, the positional filter and a bitmap filter
@@ -14,6 +17,8 @@ earliest class with one of its three rarest words; only those not settled so mee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._util import cut, documents_of, small_side
@@ -21,6 +26,7 @@ from ._util import cut, documents_of, small_side
 LEAST = 5
 _BUCKETS = 1 << 16
 _WIDE = 8
+_WHITE = r"[ \t-\r\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -29,12 +35,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def _hashes(line: Column) -> Column:
     """The hashes of all words, repeats included."""
-    return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    return F.array_remove(F.transform(F.split(F.lower(line), _WHITE), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
 def rarity(docs: DataFrame) -> Column:
     """An array literal with each bucket's rank by frequency. At most 65,536 counts come to the driver."""
-    words = documents_of(docs).where("doc_id is not null and text is not null").select(F.explode(F.split(F.lower(F.translate("text", "\n", " ")), " ")).alias("w"))
+    words = documents_of(docs).where("doc_id is not null and text is not null").select(F.explode(F.split(F.lower("text"), _WHITE)).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("bucket")).count()
     found = {r.bucket: r["count"] for r in counts.collect()}
     rank = [0] * _BUCKETS
@@ -90,11 +96,16 @@ def _parity(i: int) -> Column:
     return F.expr(f"aggregate(words, 0L, (a, w) -> if((w >> 32) & {_WIDE - 1} = {i}, a ^ shiftleft(1L, cast(w & 63 as int)), a))")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, line_no, words) of the wanted lines."""
+    texts = _lines(docs).join(wanted, ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
+    return texts.select("doc_id", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words"))
+
+
+def _verified(sets_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, broadcast_rows: int) -> DataFrame:
     """Of pairs (doc_a, line_a, doc_b, line_b), those whose words, told apart by 64-bit hashes, have a Jaccard similarity of 0.8 or more. Only their lines are read again."""
     wanted = cut(pairs.select(F.col("doc_a").alias("doc_id"), F.col("line_a").alias("line_no")).union(pairs.select("doc_b", "line_b")).distinct())
-    texts = _lines(docs).join(small_side(wanted, broadcast_rows), ["doc_id", "line_no"], "left_semi").dropDuplicates(["doc_id", "line_no"])
-    sets = cut(texts.select("doc_id", "line_no", F.array_distinct(_hashes(F.col("line"))).alias("words")))
+    sets = cut(sets_of(small_side(wanted, broadcast_rows)))
     place = lambda s: [F.col("doc_id").alias(f"doc_{s}"), F.col("line_no").alias(f"line_{s}")]
     # 512 bits still tell long lines apart, where the index's 64 no longer do; few pairs are left that need their words.
     wide = lambda s: sets.select(*place(s), F.size("words").alias(f"n_{s}"), *(_parity(i).alias(f"{s}{i}") for i in range(_WIDE)))
@@ -110,26 +121,31 @@ def _verified(docs: DataFrame, pairs: DataFrame, broadcast_rows: int) -> DataFra
 
 def later_matches(docs: DataFrame, least: int = LEAST, broadcast_rows: int = 500_000) -> DataFrame:
     """(doc_id, line_no), line numbers from 0: the lines that go. Rows that repeat a doc_id lose the same line numbers."""
-    lines = cut(signatures(docs, least))
+    return matches(cut(signatures(docs, least)), lambda wanted: _sets(docs, wanted), broadcast_rows)
+
+
+def matches(lines: DataFrame, sets_of: Callable[[DataFrame], DataFrame], broadcast_rows: int) -> DataFrame:
+    """The join over signatures; ``sets_of`` gives the words (doc_id, line_no, words) of wanted lines (doc_id, line_no)."""
     one = F.min(F.struct("doc_id", "line_no", "n", "prefix", "bits")).alias("one")
     classes = cut(lines.groupBy("h1", "h2").agg(one).select("h1", "h2", "one.*"))
     again = lines.join(classes.select("h1", "h2", F.col("doc_id").alias("d"), F.col("line_no").alias("l")), ["h1", "h2"]).where("doc_id <> d or line_no <> l").select("doc_id", "line_no")
 
-    rare = _index(classes, F.slice("prefix", 1, 3), F.lit(0))
+    longer = classes.where("n >= 4")
+    rare = _index(longer, F.slice("prefix", 1, 3), F.lit(0))
     row = F.struct("doc_id", "line_no", "bits", "at")
     first = F.first(row).over(Window.partitionBy("word").orderBy("doc_id", "line_no"))
     met = rare.select(row.alias("b"), first.alias("a")).where("a.doc_id <> b.doc_id or a.line_no <> b.line_no").where(_similar("a", "b"))
     ids = [F.col("a.doc_id").alias("doc_a"), F.col("a.line_no").alias("line_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.line_no").alias("line_b")]
-    settled = cut(_verified(docs, cut(met.select(*ids).distinct()), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")).distinct())
+    settled = cut(_verified(sets_of, cut(met.select(*ids).distinct()), broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no")).distinct())
 
-    open_ = classes.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
+    open_ = longer.join(settled.withColumn("done", F.lit(1)), ["doc_id", "line_no"], "left")
     words = _index(open_, "prefix", F.coalesce("done", F.lit(0)))
     # One exchange serves both sides: the test of b names a as well, or Spark would filter b before its exchange.
     a, b = words.alias("a"), words.alias("b")
     unsettled = (F.col("b.at").bitwiseAND(F.lit(1)) == 0) | (F.col("a.at") < 0)
     earlier = F.expr("a.doc_id < b.doc_id or (a.doc_id = b.doc_id and a.line_no < b.line_no)")
     pairs = cut(a.join(b, (F.col("a.word") == F.col("b.word")) & unsettled & earlier & _similar("a", "b")).select(*ids).distinct())
-    more = _verified(docs, pairs, broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
+    more = _verified(sets_of, pairs, broadcast_rows).select(F.col("doc_b").alias("doc_id"), F.col("line_b").alias("line_no"))
     return again.union(settled).union(more).distinct()
 
 

@@ -30,7 +30,7 @@ def op2_pii(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.line_report(_read(spark, sf_dir, "documents"))
+    return line_dedup.line_report(_read(spark, sf_dir, "documents"), least=1)
 
 
 def op4_token_counts(spark, sf_dir):

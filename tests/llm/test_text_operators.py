@@ -259,3 +259,14 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == packing.pack(none, path).count() == chunk_bpe.encode_decode(none, path).count() == 0
     assert pii.find_pii(none).count() == line_dedup.dedup_lines(none).count() == oph.edited_likeness(none).count() == 0
     assert quality.classify(none, spark.createDataFrame([], "doc_id long, quality int"), F.col("source"), F.col("lang")).count() == 0
+
+
+def test_short_lines_and_all_white_space(spark):
+    r = random.Random(11)
+    texts = ["\n".join(r.choice([" ", "\t", "\xa0", "　", "  "]).join(r.choice("Ab ac d e f g h i".split()) for _ in range(r.randint(0, 7))) for _ in range(r.randint(1, 6))) for _ in range(60)]
+    texts += ["All rights reserved.\n同じ行です", "x\nall RIGHTS reserved.\r\n\n同じ行です", "one\ttwo\tthree\tfour\tfive\tsix", "one two three four five"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [(i, j, s) for i, t in enumerate(texts) for j, x in enumerate(t.split("\n")) if (s := set(x.lower().split()))]
+    want = {(i, j) for k, (i, j, s) in enumerate(sets) if any(len(s & o) / len(s | o) >= 0.8 for _, _, o in sets[:k])}
+    assert {(61, 1), (61, 3), (63, 0)} <= want
+    assert {(x.doc_id, x.line_no) for x in line_dedup.later_matches(df, least=1).collect()} == want
