@@ -270,3 +270,23 @@ def test_short_lines_and_all_white_space(spark):
     want = {(i, j) for k, (i, j, s) in enumerate(sets) if any(len(s & o) / len(s | o) >= 0.8 for _, _, o in sets[:k])}
     assert {(61, 1), (61, 3), (63, 0)} <= want
     assert {(x.doc_id, x.line_no) for x in line_dedup.later_matches(df, least=1).collect()} == want
+
+
+def test_near_texts_are_found_exactly(spark):
+    from filingspark.llm import near_texts
+
+    r = random.Random(12)
+    base = [[r.choice(WORDS) for _ in range(r.randint(1, 150))] for _ in range(15)]
+    vary = lambda w, p: [x if r.random() > p else r.choice(WORDS) for x in w]
+    texts = [" ".join(vary(r.choice(base), r.choice([0, 0.005, 0.01, 0.02, 0.03]))) for _ in range(120)] + ["", " \n", None, "a b", "A\nb"]
+    texts += ["\n".join(texts[0].split(" "))]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    alike = lambda a, b: a == b or len(a & b) / len(a | b) >= 0.8
+    want = {i for i, s in enumerate(sets) if any(alike(s, o) for o in sets[:i])}
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+    assert {x.doc_id for x in near_texts.later_copies(df).collect()} == want
+    found = {x.doc_id for x in simhash.near_duplicates(df).where("doc_id <> component_id").collect()}
+    assert want - found
+    import corpus_pipeline
+
+    assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, None).collect()} == {None, *range(len(texts))} - want
