@@ -29,6 +29,8 @@ GENERATORS = (
     ("card", False, r"(?<![0-9])[0-9]{4}+(?:[ ./_-]{0,2}[0-9]){9,15}(?![0-9])"),
     ("phone", False, r"(?<![0-9])\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[ .-][0-9]{4}(?![0-9])"),
 )
+#: Every text with a match of the loose email pattern has one of this.
+_AT = r"@|\(at\)|\[at\]| at  ?[A-Za-z0-9-]++ ?(?:\.|\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{2}"
 _CLUE = r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|card|visa|pay|account|ip|host|server|address)\b"
 FEATURES = ("f_kind", "f_digits", "f_other", "f_groups", "f_dots", "f_left", "f_right", "f_clue")
 
@@ -78,7 +80,7 @@ def _proposals(text: Column) -> Column:
     empty = "array<struct<generator:int,i:int,gap:int,found:string,before:string,after:string>>"
     out = []
     for number, (kind, base, pattern) in enumerate(GENERATORS):
-        clue = r"@|\bdot\b|\(dot\)|\[dot\]" if kind == "email" and not base else "@" if kind == "email" else r"\+[0-9]" if kind == "phone" and base else "[0-9]"
+        clue = _AT if kind == "email" and not base else "@" if kind == "email" else r"\+[0-9]" if kind == "phone" and base else "[0-9]"
         out.append(F.when(text.rlike(clue), of(number, pattern)).otherwise(F.array().cast(empty)))
     return F.concat(*out)
 
@@ -90,7 +92,7 @@ def _class(c: Column) -> Column:
 def proposals(docs: DataFrame) -> DataFrame:
     """All proposed spans (doc_id, h, kind, base, start, end, f_...): ``h`` tells apart texts of one doc_id. Offsets are code points."""
     h = F.xxhash64("text")
-    raw = documents_of(docs).where(F.col("text").rlike("[0-9@]|dot")).select("doc_id", h.alias("h"), F.explode(_proposals(F.col("text"))).alias("p")).select("doc_id", "h", "p.*")
+    raw = documents_of(docs).where(F.col("text").rlike(f"[0-9]|{_AT}")).select("doc_id", h.alias("h"), F.explode(_proposals(F.col("text"))).alias("p")).select("doc_id", "h", "p.*")
     raw = raw.dropDuplicates(["doc_id", "h", "generator", "i"])
     number = F.col("generator")
     kind = F.element_at(F.array(*(F.lit(k) for k, _, _ in GENERATORS)), number + 1)

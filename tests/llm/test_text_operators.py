@@ -290,3 +290,10 @@ def test_near_texts_are_found_exactly(spark):
     import corpus_pipeline
 
     assert {x.doc_id for x in corpus_pipeline.drop_near_copies(spark, df, None).collect()} == {None, *range(len(texts))} - want
+
+
+def test_written_out_addresses_need_no_other_sign(spark):
+    spans = ["jane.doe (at) corp.com", "jane.doe [at] corp.com", "jane.doe at corp.com", "jane.doe(at)corp (dot) com", "jane.doe at corp dot com"]
+    far = {i: f"write {s} soon" for i, s in enumerate(spans)} | {i + 10: f"write {s} soon, or @ 1 dot" for i, s in enumerate(spans)} | {30: "we met at home"}
+    seen = pii.proposals(spark.createDataFrame(list(far.items()), "doc_id long, text string")).where("kind = 'email'")
+    assert {(r.doc_id, r.start, r.end) for r in seen.collect()} == {(i + k, 6, 6 + len(s)) for i, s in enumerate(spans) for k in (0, 10)}
