@@ -5,25 +5,38 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def shared_dir(spark) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; where it is unset (tests), a temporary one."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, a temporary one on a local master, as in tests; on a cluster an error, as executors don't share such folders."""
     sc = spark.sparkContext
     where = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(where)
     return where
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs no rerun."""
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs no rerun. Tables from earlier cuts that nothing reads after this one are ``spent`` and deleted."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/filingspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    discard(*spent)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._place = path
+    return out
+
+
+def discard(*spent: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote."""
+    for df in spent:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._place)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_side(df: DataFrame, max_rows: int) -> DataFrame:
@@ -37,3 +50,8 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     wanted = {"doc_id": "bigint", "text": "string"}
     # a column of the right type stays as it is: a renaming keeps Spark from sharing exchanges
     return docs.select(*(F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()), *more)
+
+
+def text_tag(text: Column) -> Column:
+    """20 bits of a text's hash, which tell apart rows of one doc_id."""
+    return F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1))

@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words = table(tokenizer_path)
+        words = table(tokenizer_path, 160_000)
         packer = Packer(TaskContext.get().partitionId(), capacity, least)
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]

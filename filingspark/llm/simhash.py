@@ -18,13 +18,13 @@ from .components import connected_components
 SEED = 42
 
 
-def _fingerprint(text: str | None, hash_of) -> int:
+def _fingerprint(text: str | None, hash_of, width: int) -> int:
     import numpy as np
 
     words = (text or "").encode().lower().split()
-    if len(words) < 3:
+    if len(words) < width:
         return hash_of(b" ".join(words)) if words else 0
-    hashes = np.fromiter(map(hash_of, map(b" ".join, zip(words, words[1:], words[2:]))), "<u8", len(words) - 2)
+    hashes = np.fromiter(map(hash_of, map(b" ".join, zip(*(words[i:] for i in range(width))))), "<u8", len(words) - width + 1)
     ones = np.zeros(64, "i8")
     for i in range(0, len(hashes), 1 << 17):
         bits = np.unpackbits(hashes[i : i + (1 << 17)].view("u1").reshape(-1, 8), axis=1, bitorder="little")
@@ -32,8 +32,8 @@ def _fingerprint(text: str | None, hash_of) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the 64-bit SimHash of the text's 3-word shingles as a signed long, 0 without words (null or empty text)."""
+def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(doc_id, fp) for every row; fp is the 64-bit SimHash of the text's shingles of so many words as a signed long, 0 without words (null or empty text)."""
 
     def run(batches: Iterator) -> Iterator:
         from functools import partial
@@ -43,7 +43,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         hash_of = partial(xxh64_intdigest, seed=SEED)
         for batch in batches:
-            fps = [_fingerprint(t, hash_of) for t in batch.column(1).to_pylist()]
+            fps = [_fingerprint(t, hash_of, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f - (f >> 63 << 64) for f in fps], pa.int64())], ["doc_id", "fp"])
 
     return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
@@ -175,7 +175,7 @@ def link(points, radius: int = 2, leaf: int = 192):
     return np.array([union.find(i) for i in range(len(points))])
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, sample_rows: int = 40_000, per_shard: int = 2048, max_shards: int = 4096) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, sample_rows: int = 40_000, per_shard: int = 2048) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the smallest doc_id that links of at most ``radius`` differing bits reach, itself included.
 
     Equal fingerprints count once in the search. The tree that deals out the shards is fitted on at most
@@ -183,10 +183,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, sample_rows: int = 40_000,
     one doc_id share a component only if their fingerprints do; a row with a null doc_id keeps a null or a linked
     document's component; an empty table gives no rows.
     """
-    own = cut(fingerprints(docs))
+    own = cut(fingerprints(docs, words))
     distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
     total = distinct.count()
-    shards = max(1, min(max_shards, -(-total // per_shard)))
+    shards = max(1, -(-total // per_shard))
     tree = 0
     if shards > 1:
         some = distinct.select("fp")

@@ -85,11 +85,11 @@ class WordTable:
 _TABLES: dict[str, WordTable] = {}
 
 
-def table(path: str) -> WordTable:
+def table(path: str, size: int) -> WordTable:
     """The worker's table for a vocabulary; it outlives the task where Spark reuses its Python workers."""
     if path not in _TABLES:
         gc.disable()  # the tables hold no cycles, and looking for some in them takes longer than filling them
-        _TABLES[path] = WordTable(path)
+        _TABLES[path] = WordTable(path, size)
     return _TABLES[path]
 
 
