@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import clip
+from .quantiles import quantiles
 
 
 def forward_returns(prices: DataFrame, horizons: Sequence[int], key: str = "ticker") -> DataFrame:
@@ -38,18 +39,26 @@ def trailing_volume(prices: DataFrame, rows: int, key: str = "ticker") -> DataFr
 def asof_next(events: DataFrame, series: DataFrame, key: str, at: str, carry: Sequence[str]) -> DataFrame:
     """``events`` with ref_date and the ``carry`` columns of the first series row of the same key at or after ``at``; NULLs without one.
 
-    Both sides are laid into one sorted sequence a key, so a key's rows are read once; no pair is made. ``series`` is
-    (key, dt, carry...), unique by (key, dt).
+    Both sides are laid into one sequence a key, from the last date to the first, so a key's rows are read once and the
+    frame only grows; no pair is made. ``series`` is (key, dt, carry...), unique by (key, dt).
     """
     row = F.struct(F.col("dt").alias("ref_date"), *carry)
     left = events.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(_type_of(series, row)).alias("__row"))
     right = series.select(F.col(key).alias("__key"), F.col("dt").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), row.alias("__row"))
-    w = Window.partitionBy("__key").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
-    found = left.union(right).withColumn("__next", F.first("__row", ignorenulls=True).over(w)).where("__kind = 0")
+    w = Window.partitionBy("__key").orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    found = left.union(right).withColumn("__next", F.last("__row", ignorenulls=True).over(w)).where("__kind = 0")
     unmatched = F.col("__key").isNull() | F.col("__at").isNull()
     return found.select("__event.*", *(F.when(~unmatched, F.col(f"__next.{c}")).alias(c) for c in ("ref_date", *carry)))
 
 
+def asof_next_shared(events: DataFrame, series: DataFrame, key: str, at: str, carry: Sequence[str]) -> DataFrame:
+    """As ``asof_next`` where few keys and dates stand for many events: each (key, at) is looked up once, and the answers join the events by equality."""
+    asked = events.select(F.col(key).alias("__k"), F.col(at).alias("__a")).distinct()
+    found = asof_next(asked, series.withColumnRenamed(key, "__k"), "__k", "__a", carry)
+    joined = events.join(found, (F.col(key) == F.col("__k")) & (F.col(at) == F.col("__a")), "left")
+    return joined.select(*events.columns, "ref_date", *carry)
+
+
 def _type_of(df: DataFrame, column: Column):
     return df.select(column.alias("c")).schema["c"].dataType
 
@@ -58,20 +67,21 @@ def align(grid: DataFrame, prices: DataFrame, benchmarks: DataFrame, horizons: S
     """Filings (…, ticker, bench, filing_date) against prices and benchmark series (bench, dt, close).
 
     Rows without a ticker go. Each series is scanned once: returns, rows left and trailing volume are computed where it
-    is sorted, and one as-of lookup brings them to the filings; the benchmarks' returns are looked up at the reference
-    date in the same way. Without a price on or after the filing date everything is NULL and the row counts as delisted.
+    is sorted, and one as-of lookup brings them to the filings; the benchmarks' returns are looked up once for each
+    reference date. Without a price on or after the filing date everything is NULL and the row counts as delisted.
     """
     if primary not in horizons:
         raise ValueError("the primary horizon must be one of the horizons")
-    volume = trailing_volume(prices, volume_rows).select("ticker", "dt", F.struct("trailing_volume").alias("v"))
-    own = days_remaining(forward_returns(prices, horizons)).join(volume, ["ticker", "dt"]).select("ticker", "dt", "days_left", "v.trailing_volume", *(f"fwd_{h}" for h in horizons))
+    # The volume counts rows without a close, the rest doesn't; all of it is one exchange and one sort by ticker and date.
+    own = days_remaining(forward_returns(trailing_volume(prices, volume_rows), horizons))
     names = [f"fwd_{h}" for h in horizons]
+    own = own.select("ticker", "dt", "days_left", "trailing_volume", *names)
     rows = asof_next(grid.where("ticker is not null"), own, "ticker", "filing_date", ["days_left", "trailing_volume", *names])
-    series = forward_returns(benchmarks, horizons, "bench").select("bench", "dt", *names)
+    series = forward_returns(benchmarks, horizons, "bench").select(F.col("bench").alias("__bench"), "dt", *names)
     for prefix, bench in (("mkt", F.lit(market)), ("sec", F.col("bench"))):
-        lookup = rows.withColumn("__bench", bench)
-        renamed = series.withColumnRenamed("bench", "__bench").withColumnsRenamed({n: f"{prefix}_{n}" for n in names})
-        taken = asof_next(lookup.withColumnRenamed("ref_date", "__ref"), renamed, "__bench", "__ref", [f"{prefix}_{n}" for n in names])
+        renamed = series.withColumnsRenamed({n: f"{prefix}_{n}" for n in names})
+        asked = rows.withColumn("__bench", bench).withColumnRenamed("ref_date", "__ref")
+        taken = asof_next_shared(asked, renamed, "__bench", "__ref", [f"{prefix}_{n}" for n in names])
         rows = taken.drop("ref_date", "__bench").withColumnRenamed("__ref", "ref_date")
     delisted = F.coalesce(F.col("days_left") < primary, F.lit(True))
     adjusted = {f"{p}_adj_{h}": F.col(f"fwd_{h}") - F.col(f"{p}_fwd_{h}") for p in ("mkt", "sec") for h in horizons}
@@ -85,8 +95,8 @@ def stock_decline(mkt_adj: Column, delisted: Column, threshold: float = -0.2, de
 
 
 def wide_close(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
-    """dt by ticker. The tickers are named, so no extra job looks for them."""
-    return prices.groupBy("dt").pivot("ticker", list(tickers)).agg(F.first("close"))
+    """dt by ticker. The tickers are named, so no extra job looks for them, and other tickers' rows aren't shuffled."""
+    return prices.where(F.col("ticker").isin(list(tickers))).groupBy("dt").pivot("ticker", list(tickers)).agg(F.first("close"))
 
 
 def closes_by_date(prices: DataFrame) -> DataFrame:
@@ -118,18 +128,25 @@ def event_rate(labelled: DataFrame, label: str, keys: Sequence[str]) -> DataFram
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    q = F.percentile(column, F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95))))
-    a = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("low"), F.max(column).alias("high"), q.alias("q"))
-    return a.select("n", "mean", "std", "low", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))), "high")
+    """One row: count, mean, sample deviation, extremes and five exact percentiles; NULLs but for the count without values."""
+    x = df.select(F.col(column).cast("double").alias("x"))
+    a = x.agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    both = a.join(quantiles(x, [], "x", (0.05, 0.25, 0.5, 0.75, 0.95)), "n", "left")
+    return both.select("n", "mean", "std", "low", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate((5, 25, 50, 75, 95))), "high")
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """(bin, n) of the values clipped to two quantiles, in equal bins; the highest value belongs to the last."""
-    bounds = df.agg(F.percentile(column, F.array(F.lit(low), F.lit(high))).alias("b")).select(F.col("b")[0].alias("lo"), F.col("b")[1].alias("hi"))
-    x = clip(F.col(column), F.col("lo"), F.col("hi"))
-    place = F.least(F.lit(bins - 1), F.floor((x - F.col("lo")) / ((F.col("hi") - F.col("lo")) / bins))).cast("int")
-    one = df.where(F.col(column).isNotNull()).withColumn("__one", F.lit(1))
-    return one.join(F.broadcast(bounds.withColumn("__one", F.lit(1))), "__one").select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    """(bin, n) of the values clipped to two quantiles, in equal bins; the highest value belongs to the last. The two bounds come to the driver; no rows without values."""
+    bounds = quantiles(df, [], column, (low, high)).first()
+    lo, hi = bounds.q if bounds else (0.0, 1.0)
+    x = clip(F.col(column), F.lit(lo), F.lit(hi))
+    place = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(x - lo, F.lit((hi - lo) / bins)), F.lit(0.0)))).cast("int")
+    return df.where(F.col(column).isNotNull()).select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def group_median(df: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, median) of the groups that have values."""
+    return quantiles(df, [key], column, (0.5,)).select(key, F.col("q")[0].alias("median"))
 
 
 def missing_share(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -147,7 +164,37 @@ def missing_pivot(df: DataFrame, row: str, column: str, values: Sequence, of: st
 def boxplot(df: DataFrame, key: str, column: str) -> DataFrame:
     """Quartiles and the outermost values within 1.5 interquartile ranges of them."""
     some = df.where(F.col(column).isNotNull())
-    q = some.groupBy(key).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(some, [key], column, (0.25, 0.5, 0.75)).select(key, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = some.join(F.broadcast(q), key).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
+    inside = some.join(q, key).where(F.col(column).between(F.col("q1") - reach, F.col("q3") + reach))
     return inside.groupBy(key, "q1", "median", "q3").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+
+
+def company_year_grid(companies: DataFrame, default_mmdd: str = "1231", lag_days: int = 90) -> DataFrame:
+    """companies (cik, filing_years, and fiscal_year_end as MMDD, if there is one) as a row a year: fiscal_year, period_end, filing_date.
+
+    Hyphens go from MMDD and it is padded to four digits; where it is missing the default holds, and where the year
+    lacks that day, 31 December. Empty lists give no rows; other columns stay.
+    """
+    given = F.regexp_replace(F.trim(F.col("fiscal_year_end").cast("string")), "-", "") if "fiscal_year_end" in companies.columns else F.lit(None).cast("string")
+    mmdd = F.coalesce(F.nullif(given, F.lit("")), F.lit(default_mmdd))
+    mmdd = F.when(F.length(mmdd) < 4, F.lpad(mmdd, 4, "0")).otherwise(mmdd)
+    rest = [c for c in companies.columns if c not in ("filing_years", "fiscal_year_end")]
+    rows = companies.select(*rest, mmdd.alias("__mmdd"), F.explode("filing_years").alias("fiscal_year"))
+    day = F.concat_ws("-", F.col("fiscal_year").cast("string"), F.substring("__mmdd", 1, 2), F.substring("__mmdd", 3, 2))
+    end = F.coalesce(F.try_to_date(day, "yyyy-MM-dd"), F.make_date("fiscal_year", F.lit(12), F.lit(31)))
+    return rows.select(*rest, "fiscal_year", end.alias("period_end"), F.date_add(end, lag_days).alias("filing_date"))
+
+
+def market_summary(aligned: DataFrame, horizons: Sequence[int]) -> DataFrame:
+    """One row: rows, companies, tickers, dates, and percents delisted and with a return at each horizon."""
+    share = lambda c: F.avg(c.cast("int")) * 100
+    return aligned.agg(F.count("*").alias("n_rows"), F.count_distinct("cik").alias("n_companies"), F.count_distinct("ticker").alias("n_tickers"), F.min("filing_date").alias("first"), F.max("filing_date").alias("last"), share(F.col("delisted")).alias("delisted_pct"), *(share(F.col(f"fwd_{h}").isNotNull()).alias(f"coverage_{h}") for h in horizons))
+
+
+def standard_prices(raw: DataFrame, keep: Sequence[str] = ("ticker", "dt")) -> DataFrame:
+    """Landed price rows with one ``close``: of the columns Close, close, Adj Close and adj_close the first there is, ValueError without any. Rows with nothing but keys, and rows without a close, go."""
+    close = next((c for c in ("Close", "close", "Adj Close", "adj_close") if c in raw.columns), None)
+    if close is None:
+        raise ValueError("no close column")
+    return raw.dropna("all", subset=[c for c in raw.columns if c not in keep]).where(F.col(f"`{close}`").isNotNull()).withColumn("close", F.col(f"`{close}`").cast("double"))

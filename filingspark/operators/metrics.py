@@ -10,11 +10,20 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .quantiles import ACCURACY, _place
 
-def counted(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, score, pos, neg, pos_above, neg_above, p, n): counts at and strictly above each distinct score, and the group's totals."""
-    cells = pred.groupBy(*keys, "score").agg(F.sum("y").cast("long").alias("pos"), F.sum(1 - F.col("y")).cast("long").alias("neg"))
-    cells = cells.withColumn("__range", F.floor(F.col("score") * 1000))
+_RANGES = 255
+
+
+def counted(pred: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """(keys, score, pos, neg, pos_above, neg_above, p, n): counts, of rows or of their whole weights, at and strictly above each distinct score, and the group's totals.
+
+    A group's distinct scores are cut where a sketch of them says, so that crowded scores spread over ranges as well.
+    """
+    w = F.col(weight) if weight else F.lit(1)
+    cells = pred.groupBy(*keys, "score").agg(F.sum(w * F.col("y")).cast("long").alias("pos"), F.sum(w * (1 - F.col("y"))).cast("long").alias("neg"))
+    edges = cells.groupBy(*keys).agg(F.percentile_approx("score", [i / _RANGES for i in range(1, _RANGES)], ACCURACY).alias("__e"))
+    cells = cells.join(edges, list(keys)).withColumn("__range", _place(F.col("score"), F.col("__e"), _RANGES)).drop("__e")
     ranges = cells.groupBy(*keys, "__range").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
     over = Window.partitionBy(*keys).orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -25,9 +34,9 @@ def counted(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     return both.select(*keys, "score", "pos", "neg", (F.col("ip") + F.col("rp_above")).alias("pos_above"), (F.col("in_") + F.col("rn_above")).alias("neg_above"), "p", "n")
 
 
-def ranking(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def ranking(pred: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """(keys, n_rows, n_pos, auroc, auprc, threshold, f1): ties count half; the threshold is the highest that maximises TPR − FPR; NULLs for a group of one class."""
-    c = counted(pred, keys)
+    c = counted(pred, keys, weight)
     both = (F.col("p") > 0) & (F.col("n") > 0)
     tp, fp = F.col("pos_above") + F.col("pos"), F.col("neg_above") + F.col("neg")
     gain = tp * F.col("n") - fp * F.col("p")
@@ -36,7 +45,7 @@ def ranking(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.first("p").alias("p"),
         F.first("n").alias("n"),
         F.sum(F.col("neg") * (F.col("pos_above") + F.col("pos") / 2)).alias("u"),
-        F.sum(F.col("pos") * tp / (tp + fp)).alias("ap"),
+        F.sum(F.coalesce(F.try_divide(F.col("pos") * tp, tp + fp), F.lit(0.0))).alias("ap"),
         best.alias("b"),
     )
     taken = F.col("b.gain") > 0
@@ -65,18 +74,31 @@ def all_metrics(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
     return ranking(pred, keys).join(brier(pred, keys), keys).join(ece(pred, keys), keys)
 
 
-def stratified(pred: DataFrame, strata: DataFrame, key: str, least: int = 30) -> DataFrame:
-    """Ranking metrics of each stratum, all of them listed; NULL below ``least`` rows or with one class."""
-    r = strata.join(ranking(pred, [key]), key, "left")
+def stratified(pred: DataFrame, strata: DataFrame, keys: Sequence[str], least: int = 30) -> DataFrame:
+    """Ranking metrics of each stratum (keys), all of them listed; NULL below ``least`` rows or with one class."""
+    r = strata.join(ranking(pred, keys), list(keys), "left")
     ok = F.col("n_rows") >= least
-    return r.select(key, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.when(ok, F.col("auroc")).alias("auroc"), F.when(ok, F.col("auprc")).alias("auprc"))
+    return r.select(*keys, F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_pos", F.lit(0)).alias("n_pos"), F.when(ok, F.col("auroc")).alias("auroc"), F.when(ok, F.col("auprc")).alias("auprc"))
 
 
 def hanley_mcneil(auc: Column, n_pos: Column, n_neg: Column) -> Column:
-    """The standard error of an area under the curve."""
+    """The standard error of an area under the curve; NULL unless there are two cases of each class, so that intervals are NULL as well."""
     q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
     v = auc * (1 - auc) + (n_pos - 1) * (q1 - auc * auc) + (n_neg - 1) * (q2 - auc * auc)
-    return F.when((n_pos > 0) & (n_neg > 0), F.sqrt(F.greatest(F.lit(0.0), v) / (n_pos * n_neg)))
+    return F.when((n_pos > 1) & (n_neg > 1), F.sqrt(F.greatest(F.lit(0.0), v) / (n_pos * n_neg)))
+
+
+def interval(value: Column, se: Column, z: float = 1.96) -> list[Column]:
+    """(low, high) with 4 decimals; NULL where the error is."""
+    return [F.round(value - z * se, 4).alias("low"), F.round(value + z * se, 4).alias("high")]
+
+
+def pairwise(scored: DataFrame, key: str, a: str, b: str, z: float = 1.96) -> DataFrame:
+    """scored (key, model, auroc, n_pos, n_neg): the lead of model ``a`` over ``b``, its error as if the two were independent, and whether its interval leaves out 0."""
+    side = lambda m: scored.where(F.col("model") == m).select(key, F.col("auroc").alias(f"auc_{m}"), hanley_mcneil(F.col("auroc"), F.col("n_pos"), F.col("n_neg")).alias(f"se_{m}"))
+    delta, se = F.col(f"auc_{a}") - F.col(f"auc_{b}"), F.sqrt(F.col(f"se_{a}") * F.col(f"se_{a}") + F.col(f"se_{b}") * F.col(f"se_{b}"))
+    low, high = interval(delta, se, z)
+    return side(a).join(side(b), key).select(key, delta.alias("delta"), se.alias("se"), ((low > 0) | (high < 0)).cast("int").alias("significant"))
 
 
 def gate(metrics: DataFrame, a: str, b: str, margin: float, min_wins: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import col_or_null, safe_div
+from ..functions.sectors import with_sector
 
 
 def dedup_keep(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -14,18 +15,37 @@ def dedup_keep(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> Da
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
 
 
-def filing_coverage(filings: DataFrame, first_year: int, last_year: int, form: str = "10-K", min_filings: int = 1) -> DataFrame:
-    """Per company over original filings: counts, coverage of the window's years (4 decimals), gaps, first and last date, years, and whether it filed in the last two."""
-    span = last_year - first_year + 1
+def filing_coverage(filings: DataFrame, first_year: int, last_year: int, since: str, form: str = "10-K", min_filings: int = 1) -> DataFrame:
+    """Per company over the original filings of a window of years: how many, and how many of them since the date ``since``; coverage, the share of the latter (4 decimals), and has_gap if it is below 0.95; first and last date, years and the years missing between them, and whether it filed in the last two."""
     year = F.year("date_filed")
     a = filings.where((F.trim("form_type") == form) & year.between(first_year, last_year)).groupBy("cik").agg(
-        F.count("*").alias("n_filings"), F.min("date_filed").alias("first_filed"), F.max("date_filed").alias("last_filed"), F.array_sort(F.collect_set(year)).alias("filing_years")
+        F.count("*").alias("n_filings"),
+        F.count_if(F.col("date_filed") >= F.lit(since).cast("date")).alias("n_since"),
+        F.min("date_filed").alias("first_filed"),
+        F.max("date_filed").alias("last_filed"),
+        F.array_sort(F.collect_set(year)).alias("filing_years"),
     )
     gaps = F.array_except(F.sequence(F.array_min("filing_years"), F.array_max("filing_years")), F.col("filing_years"))
-    coverage = F.round(F.size("filing_years") / span, 4)
+    coverage = F.round(F.col("n_since") / F.col("n_filings"), 4)
     return a.where(F.col("n_filings") >= min_filings).select("*", gaps.alias("gap_years"), coverage.alias("coverage"), (coverage < 0.95).alias("has_gap"), F.arrays_overlap("filing_years", F.array(F.lit(last_year - 1), F.lit(last_year))).alias("is_current"))
 
 
+def universe_enrich(coverage: DataFrame, names: DataFrame, companies: DataFrame | None = None) -> DataFrame:
+    """coverage (cik, ...) with each company's latest name and, of ``companies`` (cik, ticker, exchange, sic_code, state), its listing and sector. Without companies these are NULL."""
+    columns = ("ticker", "exchange", "sic_code", "state", "sector")
+    named = coverage.join(names, "cik", "left")
+    if companies is None:
+        return named.withColumns({c: F.lit(None).cast("string") for c in columns})
+    one = dedup_keep(companies, ["cik"], [F.col("ticker")]).select("cik", *columns[:-1])
+    return named.join(with_sector(one), "cik", "left")
+
+
+def universe_summary(universe: DataFrame) -> DataFrame:
+    """One row: companies, percents with a ticker, with a coverage of at least 0.8 and current ones, first and last filing."""
+    pct = lambda c: F.round(F.avg(c.cast("int")) * 100, 4)
+    return universe.agg(F.count("*").alias("n_companies"), pct(F.col("ticker").isNotNull()).alias("pct_ticker"), pct(F.col("coverage") >= 0.8).alias("pct_covered"), pct(F.col("is_current").cast("boolean")).alias("pct_current"), F.min("first_filed").alias("earliest"), F.max("last_filed").alias("latest"))
+
+
 def latest_value(df: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
@@ -48,7 +68,7 @@ def interval_overlap(grid: DataFrame, spans: DataFrame, key: str, at: str, days:
 
 def resolve_features(facts: DataFrame, tags: DataFrame) -> DataFrame:
     """facts (cik, fy, tag, filed, pos, val) and tags (tag, feature, priority): per company, year and feature the value of the first tag with an entry, of its entries the latest filed, of these the first listed."""
-    return dedup_keep(facts.join(F.broadcast(tags), "tag"), ["cik", "fy", "feature"], [F.col("priority"), F.desc("filed"), F.col("pos")]).select("cik", "fy", "feature", "tag", "filed", "val")
+    return dedup_keep(facts.join(tags, "tag"), ["cik", "fy", "feature"], [F.col("priority"), F.desc("filed"), F.col("pos")]).select("cik", "fy", "feature", "tag", "filed", "val")
 
 
 RATIOS = {
@@ -64,6 +84,9 @@ RATIOS = {
 }
 
 
+RATIO_NAMES = (*RATIOS, "quick_ratio", "gross_margin", "altman_z")
+
+
 def ratios(panel: DataFrame) -> DataFrame:
     """panel with twelve ratios, in one projection; a missing input or a denominator near zero makes a ratio NULL."""
     c = lambda n: col_or_null(panel, n)
@@ -78,11 +101,16 @@ def ratios(panel: DataFrame) -> DataFrame:
 
 
 def yoy(panel: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """panel with is_first_year and yoy_{c}: (x − previous)/|previous|, NULL for a previous 0 or NULL, 0 in a company's first year and after a gap."""
+    """panel with is_first_year and yoy_{c}: (x − previous)/|previous|, NULL for a previous 0 or NULL, 0 in a company's first year and after a gap. A column that the panel lacks counts as NULL."""
     w = Window.partitionBy("cik").orderBy("fiscal_year", "filed_date")
     before = F.lag("fiscal_year").over(w)
     first = before.isNull() | (F.col("fiscal_year") - before > 1)
-    change = lambda c: F.when(F.lag(c).over(w) != 0, (F.col(c) - F.lag(c).over(w)) / F.abs(F.lag(c).over(w)))
+
+    def change(c: str) -> Column:
+        if c not in panel.columns:
+            return F.lit(None).cast("double")
+        return F.when(F.lag(c).over(w) != 0, (F.col(c) - F.lag(c).over(w)) / F.abs(F.lag(c).over(w)))
+
     return panel.select("*", first.cast("int").alias("is_first_year"), *(F.when(first, 0.0).otherwise(change(c)).alias(f"yoy_{c}") for c in columns))
 
 
@@ -98,35 +126,6 @@ def missing_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select("*", *(F.col(c).isNull().cast("int").alias(f"{c}_missing") for c in columns))
 
 
-class PanelScaler:
-    """Train-only normalisation: median imputation, winsorising, then z-scores. Only the statistics, a few numbers a column, come to the driver."""
-
-    def __init__(self, columns: Sequence[str], low: float = 0.01, high: float = 0.99):
-        self.columns, self.low, self.high, self.stats = list(columns), low, high, None
-
-    def fit(self, train: DataFrame) -> PanelScaler:
-        missing = [c for c in self.columns if c not in train.columns]
-        if missing:
-            raise ValueError(f"missing columns: {', '.join(missing)}")
-        medians = train.agg(*(F.coalesce(F.percentile(c, 0.5), F.lit(0.0)).alias(c) for c in self.columns)).first()
-        filled = train.select(*(F.coalesce(c, F.lit(medians[c])).alias(c) for c in self.columns))
-        bounds = filled.agg(*(F.percentile(c, F.array(F.lit(self.low), F.lit(self.high))).alias(c) for c in self.columns)).first()
-        clipped = filled.select(*(F.greatest(F.lit(bounds[c][0]), F.least(F.lit(bounds[c][1]), F.col(c))).alias(c) for c in self.columns))
-        moments = clipped.agg(*(F.struct(F.avg(c).alias("m"), F.stddev_samp(c).alias("s")).alias(c) for c in self.columns)).first()
-        self.stats = {c: (medians[c], *bounds[c], moments[c].m, moments[c].s if (moments[c].s or 0) > 1e-12 else 1.0) for c in self.columns}
-        return self
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        if self.stats is None:
-            raise RuntimeError("fit first")
-
-        def scaled(c: str) -> Column:
-            median, lo, hi, mean, std = self.stats[c]
-            return ((F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce(F.col(c), F.lit(median)))) - mean) / std).alias(c)
-
-        return df.select(*(scaled(c) if c in self.stats else F.col(c) for c in df.columns))
-
-
 def validate_labels(df: DataFrame, labels: Sequence[str]) -> DataFrame:
     """Per label: positives, negatives, missing, coverage in percent (2 decimals), positive rate (4), and whether there are 20 positives."""
     pairs = ", ".join(f"'{c}', {c}" for c in labels)
@@ -142,7 +141,7 @@ def dedup_keep_n(df: DataFrame, key: Sequence[str], order: Sequence[Column], n:
 
 
 def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str], label: str) -> DataFrame:
-    """One row: how a label changed between two versions, over their common keys, and how many keys came and went."""
+    """One row: how a label changed between two versions, over their common keys, how many keys came and went, and the positive rates (4 decimals)."""
     a = old.select(*key, F.col(label).alias("__x"), F.lit(True).alias("__a"))
     b = new.select(*key, F.col(label).alias("__y"), F.lit(True).alias("__b"))
     j = a.join(b, list(key), "full")
@@ -157,4 +156,6 @@ def version_diff(old: DataFrame, new: DataFrame, key: Sequence[str], label: str)
         F.count_if(both & x.isNull() & y.isNotNull()).alias("became_known"),
         F.count_if(F.col("__a").isNull()).alias("new_rows"),
         F.count_if(F.col("__b").isNull()).alias("dropped_rows"),
+        F.round(F.avg(x), 4).alias("old_rate"),
+        F.round(F.avg(y), 4).alias("new_rate"),
     )

@@ -14,15 +14,16 @@ def make_splits(panel: DataFrame, train_end: str, val_end: str, test_end: str, a
 
 
 def fold_table(spark: SparkSession, first_train_end: str, last: str, val_years: int = 1, test_years: int = 1, step_years: int = 1) -> DataFrame:
-    """(fold, train_end, val_end, test_end): windows move on until a test would end after ``last``; possibly no rows."""
-    limit = spark.range(200).select(F.col("id").cast("int").alias("fold"), F.lit(first_train_end).cast("date").alias("d"))
+    """(fold, train_end, val_end, test_end): windows move on until a test would end after ``last``; possibly no rows. As many rows as the dates give."""
+    years = int(str(last)[:4]) - int(str(first_train_end)[:4])
+    limit = spark.range(max(0, years // step_years) + 1).select(F.col("id").cast("int").alias("fold"), F.lit(first_train_end).cast("date").alias("d"))
     f = limit.select("fold", F.add_months("d", F.col("fold") * (12 * step_years)).alias("train_end"))
     f = f.select("*", F.add_months("train_end", 12 * val_years).alias("val_end"), F.add_months("train_end", 12 * (val_years + test_years)).alias("test_end"))
     return f.where(F.col("test_end") <= F.lit(last).cast("date"))
 
 
 def rolling_splits(panel: DataFrame, folds: DataFrame, at: str = "period_end") -> DataFrame:
-    """One row for each fold that a row belongs to: expanding train, then val, then test. The fold table has at most 200 rows."""
+    """One row for each fold that a row belongs to: expanding train, then val, then test. The fold table has a row a step."""
     d = F.col(at)
     split = F.when(d <= F.col("train_end"), "train").when(d <= F.col("val_end"), "val").otherwise("test")
     return panel.join(F.broadcast(folds), d <= F.col("test_end")).withColumn("split", split).drop("train_end", "val_end", "test_end")

@@ -7,7 +7,9 @@ from pyspark.sql import Window, functions as F
 from . import queries_panel as Q
 from .functions.exprs import portable_uniform
 from .operators import joins as J
+from .operators import labels as B
 from .operators import panel as P
+from .operators.publish import split_snapshots as split_snapshots_of
 from .plans import splits as S
 from .sources import landed
 from .views import FEATURES, view
@@ -36,8 +38,7 @@ def crossref_merge(spark, sf):
 
 
 def amended_pairs(spark, sf):
-    pairs = Q.amendment_registry(spark, sf).groupBy("cik", "fiscal_year").agg(F.count("*").alias("k")).where("k >= 2").select("cik", "fiscal_year", F.lit(1).alias("amended"))
-    return _keyed(spark, sf).join(pairs, ["cik", "fiscal_year"], "left").withColumn("amended", F.coalesce("amended", F.lit(0)))
+    return B.amended_pairs(_keyed(spark, sf, "period_end"), Q.amendment_registry(spark, sf)).select("cik", "fiscal_year", "amended")
 
 
 def universe_semi_join(spark, sf):
@@ -59,8 +60,8 @@ def date_alignment_report(spark, sf):
 
 
 def split_snapshots(spark, sf):
-    s = S.make_splits(view(spark, sf, "panel"), "1997-12-31", "1998-12-31", "2000-12-31").select("split", "cik").distinct()
-    return s.join(view(spark, sf, "company_sector").select("cik", "sector"), "cik").groupBy("split", "sector").agg(F.count("*").alias("n"))
+    s = S.make_splits(view(spark, sf, "panel"), "1997-12-31", "1998-12-31", "2000-12-31")
+    return split_snapshots_of(s, Q.universe(spark, sf).select("cik", "sector", "is_current"))
 
 
 def split_preview(spark, sf):
@@ -151,11 +152,11 @@ QUERIES = {
     "ticker_map": (ticker_map, "select p.cik, fiscal_year, ticker from {panel} p left join {company} c on p.cik = c.cik"),
     "sic_join": (sic_join, "select p.cik, fiscal_year, case when custkey % 4 <> 0 then sic_code end as sic_code from {panel} p left join {company} c on p.cik = c.cik"),
     "crossref_merge": (crossref_merge, "with v as (select lpad(cast(custkey as string), 6, '0') as gvkey, case when custkey % 2 <> 0 then cik end as vcik, ticker as tic from {company} where custkey % 3 = 0), f as (select tic, min(gvkey) as gvkey from v group by 1) select c.cik, c.ticker, coalesce(v.gvkey, f.gvkey) as gvkey, case when v.gvkey is not null then 'cik' when f.gvkey is not null then 'ticker' end as matched from {company} c left join v on c.cik = v.vcik left join f on c.ticker = f.tic"),
-    "amended_pairs": (amended_pairs, f"with {Q._REG} select p.cik, p.fiscal_year, cast(coalesce(k, 0) >= 2 as int) as amended from {{panel}} p left join (select cik, fiscal_year, count(*) as k from reg group by 1, 2) r on p.cik = r.cik and p.fiscal_year = r.fiscal_year"),
+    "amended_pairs": (amended_pairs, f"with {Q._REG} select p.cik, p.fiscal_year, cast(coalesce(k, 0) >= 2 as int) as amended from {{panel}} p left join (select cik, period_end, count(*) as k from reg group by 1, 2) r on p.cik = r.cik and p.period_end = r.period_end"),
     "universe_semi_join": (universe_semi_join, "select cik, event_date from {event_date} where cik in (select cik from {company} where exchange = 'MACHINERY')"),
     "year_tolerance_join": (year_tolerance_join, f"with {_YEAR} select cik, year, period_end, label_end from d where apart <= 14"),
     "date_alignment_report": (date_alignment_report, f"with {_YEAR} select count(*) filter (apart = 0) as n_exact, count(*) filter (apart between 1 and 14) as n_near, count(*) filter (apart > 14) as n_dropped from d"),
-    "split_snapshots": (split_snapshots, f"select split, sector, count(*) as n from (select distinct {_SPLIT}, cik from {{panel}} where period_end <= date '2000-12-31') s join {{company_sector}} c on s.cik = c.cik group by 1, 2"),
+    "split_snapshots": (split_snapshots, f"with {Q._UNI}, s as (select split, u.sector, u.is_current from (select distinct {_SPLIT}, cik from {{panel}} where period_end <= date '2000-12-31') s join uni u on s.cik = u.cik), w as (select split, count(*) filter (is_current = 1) as n_current, round(avg(coalesce(is_current, 0)) * 100, 1) as pct_current from s group by 1) select s.split, sector, count(*) as n, n_current, pct_current from s join w on s.split = w.split group by all"),
     "split_preview": (split_preview, f"select split, count(*) as n, round(count(*) / cast(sum(count(*)) over () as double), 4) as share from (select {_SPLIT} from {{panel}} where period_end <= date '2000-12-31') s group by 1"),
     "sector_distribution": (sector_distribution, "select sector, count(*) as n from {company_sector} group by 1"),
     "metric_reconcile": (metric_reconcile, "select cik, fiscal_year, round(total_revenue, 2) as a, round(case when fiscal_year = 1995 then total_revenue + 1 end, 2) as b from {panel} where total_revenue is not null and fiscal_year in (1995, 1997)"),

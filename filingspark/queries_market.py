@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.sectors import benchmark
+from .operators import joins as J
 from .operators import market as M
 from .operators import panel as P
 from .views import view
 
 HORIZONS, PRIMARY, VOLUME_ROWS = (1, 3, 6, 12), 12, 5
-_V = lambda name: (lambda spark, sf: view(spark, sf, name))
 
 
 def r6(df, *names):
@@ -24,7 +24,7 @@ def _aligned(spark, sf):
 _FWD = ", ".join(f"lead(case when close > 0 then ln(close) end, {h}) over w - case when close > 0 then ln(close) end as fwd_{h}" for h in HORIZONS)
 _OWN = f"own as (select ticker, dt, {_FWD}, count(*) over (partition by ticker) - row_number() over w as days_left, avg(volume) over (partition by ticker order by dt rows between {VOLUME_ROWS} preceding and 1 preceding) as trailing_volume from {{price}} where close is not null window w as (partition by ticker order by dt)), bm as (select bench, dt, {_FWD} from {{bench_price}} where close is not null window w as (partition by bench order by dt))"
 _REF = "ref as (select g.*, (select min(dt) from own o where o.ticker = g.ticker and o.dt >= g.filing_date) as ref_date from {grid} g)"
-_ALIGN = f"with {_OWN}, {_REF}, al as (select r.cik, r.ticker, r.sector, r.filing_date, r.period_end, r.ref_date, o.days_left, o.trailing_volume, coalesce(o.days_left < {PRIMARY}, true) as delisted, " + ", ".join(f"o.fwd_{h}, o.fwd_{h} - m.fwd_{h} as mkt_adj_{h}, o.fwd_{h} - s.fwd_{h} as sec_adj_{h}" for h in HORIZONS) + " from ref r left join own o on o.ticker = r.ticker and o.dt = r.ref_date left join bm m on m.bench = 'market' and m.dt = (select min(dt) from bm where bench = 'market' and dt >= r.ref_date) left join bm s on s.bench = r.bench and s.dt = (select min(b2.dt) from bm b2 where b2.bench = r.bench and b2.dt >= r.ref_date))"
+_ALIGN = f"with {_OWN}, {_REF}, al as (select r.cik, r.ticker, r.sector, r.filing_date, r.period_end, r.ref_date, o.days_left, o.trailing_volume, coalesce(o.days_left < {PRIMARY}, true) as delisted, " + ", ".join(f"o.fwd_{h}, o.fwd_{h} - m.fwd_{h} as mkt_adj_{h}, o.fwd_{h} - s.fwd_{h} as sec_adj_{h}, m.fwd_{h} as mkt_fwd_{h}, s.fwd_{h} as sec_fwd_{h}" for h in HORIZONS) + " from ref r left join own o on o.ticker = r.ticker and o.dt = r.ref_date left join bm m on m.bench = 'market' and m.dt = (select min(dt) from bm where bench = 'market' and dt >= r.ref_date) left join bm s on s.bench = r.bench and s.dt = (select min(b2.dt) from bm b2 where b2.bench = r.bench and b2.dt >= r.ref_date))"
 _SHOWN = ["trailing_volume", *(f"{p}_{h}" for p in ("fwd", "mkt_adj", "sec_adj") for h in HORIZONS)]
 
 
@@ -68,12 +68,14 @@ def asof_next_trading_day(spark, sf):
 
 def asof_benchmark(spark, sf):
     g = view(spark, sf, "grid").select("cik", "bench", "filing_date")
-    return r6(M.asof_next(g, view(spark, sf, "bench_price"), "bench", "filing_date", ["close"]), "close")
+    return r6(M.asof_next_shared(g, view(spark, sf, "bench_price"), "bench", "filing_date", ["close"]), "close")
 
 
 def close_wide(spark, sf):
-    """Four tickers only, as its SQL says; ``close_wide_all`` takes all."""
-    return M.wide_close(view(spark, sf, "price"), ["U0", "U1", "U2", "U3"])
+    """A row a date with the closes of all tickers, in ten-thousandths, as text."""
+    wide = M.closes_by_date(view(spark, sf, "price"))
+    each = F.transform(F.map_entries("closes"), lambda e: F.concat_ws("=", e["key"], F.round(e["value"] * 10000).cast("long").cast("string")))
+    return wide.select("dt", F.size("closes").cast("long").alias("n_tickers"), F.array_join(F.array_sort(each), ",").alias("closes"))
 
 
 def close_wide_all(spark, sf):
@@ -92,20 +94,33 @@ def sector_benchmark(spark, sf):
 
 
 def company_year_grid(spark, sf):
-    c = P.filing_coverage(view(spark, sf, "filing"), 1995, 2001).select("cik", F.explode("filing_years").alias("fiscal_year"))
-    mmdd = F.when(F.col("cik").cast("long") % 3 == 0, "0229").when(F.col("cik").cast("long") % 3 == 1, "0630").otherwise("1231")
-    day = F.concat_ws("-", F.col("fiscal_year").cast("string"), F.substring(mmdd, 1, 2), F.substring(mmdd, 3, 2))
-    end = F.coalesce(F.try_to_date(day, "yyyy-MM-dd"), F.make_date("fiscal_year", F.lit(12), F.lit(31)))
-    return c.select("cik", "fiscal_year", end.alias("period_end"), F.date_add(end, 90).alias("filing_date"))
+    c = P.filing_coverage(view(spark, sf, "filing"), 1995, 2001, "1997-01-01").select("cik", "filing_years")
+    k = F.col("cik").cast("long") % 4
+    return M.company_year_grid(c.withColumn("fiscal_year_end", F.when(k == 0, "0229").when(k == 1, "6-30").when(k == 2, "1030")))
 
 
 def market_summary(spark, sf):
-    a = _aligned(spark, sf)
-    return r6(a.agg(F.count("*").alias("n_rows"), F.count_distinct("cik").alias("n_companies"), F.count_distinct("ticker").alias("n_tickers"), F.min("filing_date").alias("first"), F.max("filing_date").alias("last"), (F.avg(F.col("delisted").cast("int")) * 100).alias("delisted_pct"), *((F.avg(F.col(f"fwd_{h}").isNotNull().cast("int")) * 100).alias(f"coverage_{h}") for h in HORIZONS)), "delisted_pct", *(f"coverage_{h}" for h in HORIZONS))
+    return r6(M.market_summary(_aligned(spark, sf), HORIZONS), "delisted_pct", *(f"coverage_{h}" for h in HORIZONS))
+
+
+def prices_scan(spark, sf):
+    raw = view(spark, sf, "price").withColumnRenamed("close", "Adj Close")
+    return M.standard_prices(raw).select("ticker", "dt", "close", "volume")
+
+
+def market(spark, sf):
+    """From companies' years and fiscal year ends to aligned returns and short interest."""
+    g = view(spark, sf, "grid")
+    c = g.select("cik", "ticker", "sector", "bench", F.array(F.lit(2023)).alias("filing_years"), F.date_format("period_end", "MM-dd").alias("fiscal_year_end"))
+    rows = M.align(M.company_year_grid(c), view(spark, sf, "price"), view(spark, sf, "bench_price"), HORIZONS, PRIMARY, VOLUME_ROWS, "market")
+    interest = view(spark, sf, "price").select("ticker", F.col("dt").alias("filing_date"), F.col("volume").alias("short_interest"))
+    rows = J.short_interest(rows, interest)
+    shown = ["trailing_volume", *(f"fwd_{h}" for h in HORIZONS)]
+    return r6(rows.select("cik", "ticker", "sector", "fiscal_year", "period_end", "filing_date", "ref_date", F.col("delisted").cast("int").alias("delisted"), "short_interest", *shown, "mkt_fwd_12", "sec_fwd_12"), *shown, "mkt_fwd_12", "sec_fwd_12")
 
 
 def sector_median(spark, sf):
-    return r6(_aligned(spark, sf).where("mkt_adj_12 is not null").groupBy("sector").agg(F.percentile("mkt_adj_12", 0.5).alias("median_excess")), "median_excess")
+    return r6(M.group_median(_aligned(spark, sf), "sector", "mkt_adj_12").withColumnRenamed("median", "median_excess"), "median_excess")
 
 
 def describe_returns(spark, sf):
@@ -180,12 +195,13 @@ QUERIES = {
     "trailing_volume": (trailing_volume, f"with {_OWN} select ticker, dt, {_R('trailing_volume')} from own"),
     "asof_next_trading_day": (asof_next_trading_day, "select g.cik, g.ticker, g.filing_date, p.dt as ref_date, p.close from {grid} g asof left join {price} p on g.ticker = p.ticker and g.filing_date <= p.dt"),
     "asof_benchmark": (asof_benchmark, "select g.cik, g.bench, g.filing_date, p.dt as ref_date, round(p.close, 6) as close from {grid} g asof left join {bench_price} p on g.bench = p.bench and g.filing_date <= p.dt"),
-    "prices_scan": (_V("price"), "select * from {price}"),
-    "close_wide": (close_wide, "select dt, " + ", ".join(f"max(case when ticker = '{t}' then close end) as \"{t}\"" for t in ("U0", "U1", "U2", "U3")) + " from {price} group by dt"),
+    "prices_scan": (prices_scan, "select ticker, dt, close, volume from {price} where close is not null"),
+    "market": (market, f"{_ALIGN} select a.cik, a.ticker, a.sector, 2023 as fiscal_year, a.period_end, a.filing_date, ref_date, cast(delisted as int) as delisted, p.volume as short_interest, {', '.join(f'round({n}, 6) as {n}' for n in ('trailing_volume', *(f'fwd_{h}' for h in HORIZONS)))}, round(mkt_fwd_12, 6) as mkt_fwd_12, round(sec_fwd_12, 6) as sec_fwd_12 from al a left join {{price}} p on p.ticker = a.ticker and p.dt = a.filing_date"),
+    "close_wide": (close_wide, "select dt, count(*) as n_tickers, array_to_string(list_sort(list(ticker || '=' || cast(cast(round(close * 10000) as bigint) as string))), ',') as closes from {price} group by dt"),
     "close_wide_all": (close_wide_all, "select dt, ticker, close from {price}"),
     "excess_returns": (excess_returns, f"with {_OWN} select a.dt, round(a.fwd_1 - b.fwd_1, 6) as excess from bm a join bm b on a.dt = b.dt where a.bench = 'click' and b.bench = 'market'"),
     "sector_benchmark": (sector_benchmark, "select c.sector, case when s.bench = 'XLC' and f.date_filed + interval 20 year < date '2018-06-18' then '^GSPC' else s.bench end as benchmark, count(*) as n from {filing} f join {company_sector} c on f.cik = c.cik join {sector_list} s on s.sector = c.sector group by 1, 2"),
-    "company_year_grid": (company_year_grid, "with y as (select distinct cik, cast(year(date_filed) as int) as fiscal_year from {filing} where form_type = '10-K' and year(date_filed) between 1995 and 2001), e as (select cik, fiscal_year, coalesce(try_cast(fiscal_year || '-' || case cast(cik as bigint) % 3 when 0 then '02-29' when 1 then '06-30' else '12-31' end as date), make_date(fiscal_year, 12, 31)) as period_end from y) select cik, fiscal_year, period_end, period_end + 90 as filing_date from e"),
+    "company_year_grid": (company_year_grid, "with y as (select distinct cik, cast(year(date_filed) as int) as fiscal_year from {filing} where form_type = '10-K' and year(date_filed) between 1995 and 2001), e as (select cik, fiscal_year, coalesce(try_cast(fiscal_year || '-' || case cast(cik as bigint) % 4 when 0 then '02-29' when 1 then '06-30' when 2 then '10-30' else '12-31' end as date), make_date(fiscal_year, 12, 31)) as period_end from y) select cik, fiscal_year, period_end, period_end + 90 as filing_date from e"),
     "market_summary": (market_summary, f"{_ALIGN} select count(*) as n_rows, count(distinct cik) as n_companies, count(distinct ticker) as n_tickers, min(filing_date) as first, max(filing_date) as last, round(avg(cast(delisted as int)) * 100, 6) as delisted_pct, {_COV} from al"),
     "sector_median": (sector_median, f"{_ALIGN} select sector, round(quantile_cont(mkt_adj_12, 0.5), 6) as median_excess from al where mkt_adj_12 is not null group by 1"),
     "describe_returns": (describe_returns, f"{_ALIGN} select count(fwd_6) as n, round(avg(fwd_6), 6) as mean, round(stddev_samp(fwd_6), 6) as std, round(min(fwd_6), 6) as low, " + ", ".join(f"round(quantile_cont(fwd_6, {p / 100}), 6) as p{p}" for p in (5, 25, 50, 75, 95)) + ", round(max(fwd_6), 6) as high from al"),

@@ -8,14 +8,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.exprs import normalize_key
 
-_ROW = r"^(.{12})(.{62})(\d+)\s+(\d{4}-\d{2}-\d{2})\s+(\S+)\s*$"
+# Fixed value: a row of the index, whose company number may stand at either end of its field.
+_ROW = r"^(.{12})(.{62})\s*(\d+)\s+(\d{4}-\d{2}-\d{2})\s+(\S+)"
 FACTS = "struct<cik:string, facts:struct<`us-gaap`:map<string, struct<units:map<string, array<struct<val:double, fy:int, fp:string, form:string, filed:string, `end`:string>>>>>>>"
 
 
-def parse_index_lines(lines: DataFrame) -> DataFrame:
-    """Rows of a fixed-width filing index from its lines (value); lines that aren't rows, the preamble among them, and rows with bad dates go."""
+def parse_index_lines(lines: DataFrame, file: str = "file") -> DataFrame:
+    """Rows of fixed-width filing indexes from their lines (value, and ``file`` that names a line's file).
+
+    Lines that aren't rows, the preamble among them, and rows with bad dates go; so do all lines of a file without a
+    header line.
+    """
     part = lambda i: F.trim(F.regexp_extract("value", _ROW, i))
-    rows = lines.where(F.col("value").rlike(_ROW)).select(part(1).alias("form_type"), part(2).alias("company_name"), normalize_key(part(3)).alias("cik"), F.try_to_date(part(4), "yyyy-MM-dd").alias("date_filed"), part(5).alias("filename"))
+    headed = lines.where(F.contains("value", F.lit("Form Type")) & F.contains("value", F.lit("CIK"))).select(file).distinct()
+    rows = lines.where(F.col("value").rlike(_ROW)).join(headed, file, "left_semi")
+    rows = rows.select(part(1).alias("form_type"), part(2).alias("company_name"), normalize_key(part(3)).alias("cik"), F.try_to_date(part(4), "yyyy-MM-dd").alias("date_filed"), part(5).alias("filename"))
     return rows.where("date_filed is not null")
 
 
@@ -32,10 +39,10 @@ def parse_column_json(docs: DataFrame, column: str, fields: Sequence[str]) -> Da
 
 
 def explode_facts(docs: DataFrame, column: str) -> DataFrame:
-    """Nested fact documents as (cik, tag, unit, pos, val, fy, fp, form, filed)."""
+    """Nested fact documents as (cik, tag, unit, pos, val, fy, fp, form, filed, period_end)."""
     d = docs.select(F.from_json(column, FACTS).alias("d")).select(normalize_key(F.col("d.cik")).alias("cik"), F.explode(F.col("d.facts")["us-gaap"]).alias("tag", "t"))
     u = d.select("cik", "tag", F.explode("t.units").alias("unit", "entries"))
-    return u.select("cik", "tag", "unit", F.posexplode("entries").alias("pos", "e")).select("cik", "tag", "unit", "pos", "e.val", "e.fy", "e.fp", "e.form", F.try_to_date("e.filed", "yyyy-MM-dd").alias("filed"))
+    return u.select("cik", "tag", "unit", F.posexplode("entries").alias("pos", "e")).select("cik", "tag", "unit", "pos", "e.val", "e.fy", "e.fp", "e.form", F.try_to_date("e.filed", "yyyy-MM-dd").alias("filed"), F.try_to_date("e.end", "yyyy-MM-dd").alias("period_end"))
 
 
 def tag_phrases(docs: DataFrame, rules: DataFrame, key: str, text: str) -> DataFrame:

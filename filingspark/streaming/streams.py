@@ -10,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-def _place(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; where none is set (tests), a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
+def new_place(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder. Where none is set, a temporary one on a local master, as in tests; on a cluster an error."""
+    where = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if where is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        where = tempfile.mkdtemp(prefix="spark-stream-")
     return f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -23,14 +27,14 @@ def _source(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 def ingest(spark: SparkSession, path: str, schema: StructType, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Append what has landed in ``path`` since the last run with the same ``checkpoint`` to ``out``, and read ``out``."""
-    out, checkpoint = out or _place(spark), checkpoint or _place(spark)
+    out, checkpoint = out or new_place(spark), checkpoint or new_place(spark)
     _source(spark, path, schema).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
 
 def latest(spark: SparkSession, path: str, schema: StructType, key: str, order: Sequence[str]) -> DataFrame:
     """The newest row of each key, by the ``order`` columns, as rows keep arriving: a grouped state, upserted batch by batch."""
-    out, checkpoint = _place(spark), _place(spark)
+    out, checkpoint = new_place(spark), new_place(spark)
     state = _source(spark, path, schema).groupBy(key).agg(F.max_by(F.struct(*[c for c in schema.names if c != key]), F.struct(*order)).alias("row"))
 
     def upsert(batch: DataFrame, number: int) -> None:

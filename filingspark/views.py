@@ -9,6 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .functions.concepts import ALL_TAGS
 from .functions.sectors import SECTORS, listed_ranges
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels")
@@ -37,7 +38,7 @@ VIEWS = {
     "company": "select lpad(cast(c_custkey as string), 10, '0') as cik, c_custkey as custkey, c_name as entity_name, 'U' || cast(c_custkey % (select max(user_id) + 6 from {events}) as string) as ticker, c_mktsegment as exchange, lpad(cast((c_custkey * 37) % 10000 as string), 4, '0') as sic_code, cast(c_nationkey as string) as state from {customer}",
     "filing": "select lpad(cast(o_custkey as string), 10, '0') as cik, c_name as company_name, cast(o_orderdate as date) as date_filed, case o_orderstatus when 'F' then '10-K' when 'O' then '10-K/A' else 'NT 10-K/A' end as form_type, o_orderkey as filename from {orders} join {customer} on o_custkey = c_custkey",
     "panel": "select lpad(cast(o_custkey as string), 10, '0') as cik, cast(year(o_orderdate) as int) as fiscal_year, make_date(cast(year(o_orderdate) as int), 12, 31) as period_end, max(cast(o_orderdate as date)) as filed_date, " + ", ".join(f"round(sum(case when {c} then l_extendedprice end), 2) as {n}" for n, c in _FEATURES.items()) + " from {orders} join {lineitem} on o_orderkey = l_orderkey group by o_custkey, year(o_orderdate)",
-    "fact": "select lpad(cast(o_custkey as string), 10, '0') as cik, 'T' || cast(l_linenumber as string) as tag, cast(year(o_orderdate) as int) as fy, case o_orderstatus when 'F' then '10-K' when 'O' then '10-K/A' else '10-Q' end as form, cast(l_shipdate as date) as filed, l_partkey * 10000000 + l_orderkey as pos, l_extendedprice as val from {lineitem} join {orders} on l_orderkey = o_orderkey",
+    "fact": "select lpad(cast(o_custkey as string), 10, '0') as cik, split_part('" + ",".join(ALL_TAGS) + "', ',', cast(l_linenumber + 7 * (l_partkey % 5) as int)) as tag, cast(year(o_orderdate) as int) as fy, 'FY' as fp, 'USD' as unit, case o_orderstatus when 'F' then '10-K' when 'O' then '10-K/A' else '10-Q' end as form, cast(l_shipdate as date) as filed, make_date(cast(year(o_orderdate) as int), 12, case when l_partkey % 11 = 0 then 28 else 31 end) as period_end, l_partkey * 10000000 + l_orderkey as pos, l_extendedprice as val from {lineitem} join {orders} on l_orderkey = o_orderkey",
     "price": "select 'U' || cast(user_id as string) as ticker, cast(ts as date) as dt, max_by(value, event_id) + 1 as close, count(*) as volume from {events} group by user_id, cast(ts as date)",
     "bench_price": "select event_type as bench, cast(ts as date) as dt, round(avg(value), 6) + 1 as close from {events} group by event_type, cast(ts as date) union all select 'market' as bench, cast(ts as date) as dt, round(avg(value), 6) + 1 as close from {events} group by cast(ts as date)",
     "company_sector": "select c.*, coalesce(s.sector, 'Other') as sector from {company} c left join (select cik, max_by(r.sector, r.place) as sector from {company} join {sector_range} r on cast(sic_code as int) between r.low and r.high group by cik) s on c.cik = s.cik",
