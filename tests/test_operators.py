@@ -7,6 +7,7 @@ from filingspark.functions.exprs import clip, normalize_key, require_columns, sa
 from filingspark.operators import market as M
 from filingspark.operators import metrics as X
 from filingspark.operators import panel as P
+from filingspark.operators.features import PanelScaler
 from filingspark.plans import splits as S
 from filingspark.sources import landed
 
@@ -64,13 +65,13 @@ def test_yoy_gap_and_negative_base(spark):
 
 def test_scaler_fits_on_train_only(spark):
     train = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "x double")
-    s = P.PanelScaler(["x"], 0.0, 1.0)
+    s = PanelScaler(["x"], 0.0, 1.0)
     with pytest.raises(RuntimeError):
         s.transform(train)
     rows = [r.x for r in s.fit(train).transform(spark.createDataFrame([(2.0,), (None,), (99.0,)], "x double")).collect()]
     assert rows[0] == rows[1] == 0.0 and rows[2] == pytest.approx(1 / 0.816496580927726)
     with pytest.raises(ValueError):
-        P.PanelScaler(["y"]).fit(train)
+        PanelScaler(["y"]).fit(train)
 
 
 def test_splits(spark):
@@ -80,7 +81,7 @@ def test_splits(spark):
 
 
 def test_index_without_rows(spark):
-    assert landed.parse_index_lines(spark.createDataFrame([("Form Type   Company",), ("-----",)], "value string")).count() == 0
+    assert landed.parse_index_lines(spark.createDataFrame([("f", "Form Type   Company"), ("f", "-----")], "file string, value string")).count() == 0
 
 
 def test_provenance_round_trip(spark, tmp_path):

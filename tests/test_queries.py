@@ -29,7 +29,7 @@ def cell(v):
     return str(v)[:10] if hasattr(v, "year") else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_same_rows(spark, duck, name):
     df = registry.queries()[name](spark, DIR)
     names = sorted(df.columns)
@@ -51,3 +51,9 @@ def test_all_companies_and_tickers(spark):
     q = registry.queries()
     assert q["facts_explode_all"](spark, DIR).select("cik").distinct().count() == view(spark, DIR, "fact").select("cik").distinct().count() > 99
     assert q["close_wide_all"](spark, DIR).count() == q["prices_scan"](spark, DIR).count()
+
+
+@pytest.mark.parametrize("name", ["lr_scores", "temporal_grid", "walk_forward"])
+def test_models_score(spark, name):
+    rows = registry.queries()[name](spark, DIR).collect()
+    assert rows and all(0 <= v <= 1 for r in rows for k, v in r.asDict().items() if k in ("score", "mean_auroc", "auroc"))
