@@ -12,7 +12,7 @@ partners. Sets of fewer than four words are similar only where they are equal, s
 that are similar share a word of their prefixes. Pairs with such a word must pass the length filter, the positional
 filter and a bitmap filter (each word flips one bit of its set's bitmap, so differing bits can't outnumber differing
 words) inside the join, and then an exact count of their common words. So that a large group of near copies doesn't
-give all its pairs, each class first meets only three earlier classes for each of two leads (hashes of words) that it
+give all its pairs, each class first meets only three earlier classes for each of three leads (hashes of words) that it
 shares with them: the first, the last and the one with the fewest changed words; only classes not settled so meet all others.
 """
 
@@ -50,7 +50,7 @@ def _hashes(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> bytes:
-    """A letter for each bucket's level of frequency. At most 262,144 counts come to the driver, 512 in a row.
+    """Each bucket's level of frequency, as a byte. At most 262,144 counts come to the driver, 512 in a row.
 
     Words count as they are written, between blanks and line ends: as any order of words will do, this spares a pass
     over all letters.
@@ -59,11 +59,11 @@ def rarity(docs: DataFrame) -> bytes:
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("id")).count()
     level = F.floor(2 * F.log2("count")).cast("int")
-    letters = bytearray(b"!" * _BUCKETS)
+    levels = bytearray(_BUCKETS)
     for run in counts.groupBy(F.shiftright("id", 9)).agg(F.collect_list("id").alias("ids"), F.collect_list(level).alias("levels")).toLocalIterator():
         for i, at in zip(run.ids, run.levels):
-            letters[i] = 33 + at
-    return bytes(letters)
+            levels[i] = at
+    return bytes(levels)
 
 
 def _parity(words: int, i: int) -> Column:
@@ -74,20 +74,20 @@ def _parity(words: int, i: int) -> Column:
 
 def _leads(hashes: str) -> Column:
     a, z = F.array_min(hashes), F.array_max(hashes)
-    return F.array(F.hash(a, F.array_min(F.array_remove(hashes, a))), F.hash(z, F.array_max(F.array_remove(hashes, z))))
+    return F.array(F.hash(a, F.array_min(F.array_remove(hashes, a))), F.hash(z, F.array_max(F.array_remove(hashes, z))), F.hash(a, z))
 
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, place, n, h1, h2, prefix, leads, plain, b0, b1) of each line with a word; h1 and h2 tell the sets apart.
 
-    ``leads`` are hashes of two pairs of words, which near copies mostly share: those of the smallest hashes and those
-    of the largest. ``plain`` is the level in the middle of the prefix: changed words
+    ``leads`` are hashes of three pairs of words, which near copies mostly share: those of the smallest hashes, those of
+    the largest, and one of either. ``plain`` is the level in the middle of the prefix: changed words
     make it lower.
     The prefix has 32-bit hashes: a collision adds a candidate pair, which the exact count rejects. The bitmap has 64
     bits, for more than 64 words 128, which fold to 64.
     """
-    letters, low = F.lit(rarity(docs)), F.lit((1 << 56) - 1)
-    level = lambda h: F.ascii(F.substring(letters, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1)))
+    levels, low = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<tinyint>"), F.lit((1 << 56) - 1)
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))
     key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
     # The test is of the line: Spark would push one of the hashes below them and hash all words twice.
     lines = _lines(_lowered(docs)).where(F.trim("line") != "").select("doc_id", "place", _hashes(F.col("line")).alias("hashes"))
@@ -189,7 +189,7 @@ def matches(lines: DataFrame, sets_of: Callable[[DataFrame], DataFrame], broadca
     before = Window.partitionBy("word").orderBy("doc_id", "place").rowsBetween(Window.unboundedPreceding, -1)
     led = _index(longer, "leads", F.lit(0), "plain")
     met = led.select(row.alias("b"), F.first(row).over(before).alias("first"), F.last(row).over(before).alias("last"), F.max(F.struct("plain", row.alias("row"))).over(before).alias("plain"))
-    met = met.where("first is not null").select("b", F.explode(F.array_distinct(F.array("first", "last", "plain.row"))).alias("a")).where(_alike("a", "b"))
+    met = met.where("first is not null").select("b", F.explode(F.array_distinct(F.array("first", "last", "plain.row"))).alias("a")).where(_earlier("a", "b") & _alike("a", "b"))
     ids = [F.col("a.doc_id").alias("doc_a"), F.col("a.place").alias("place_a"), F.col("b.doc_id").alias("doc_b"), F.col("b.place").alias("place_b")]
     pairs = met.select(*ids) if likely is None else met.select(*ids).union(likely)
     settled = _verified(sets_of, cut(pairs.distinct()), broadcast_rows)

@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._util import documents_of
+from ._util import cut, documents_of
 
 BINS, LOW_BITS, WORDS = 128, 8, 5
 _SHIFT = 64 - (BINS.bit_length() - 1)
@@ -72,12 +72,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return documents_of(docs).select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
 
 
-def successors(docs: DataFrame, width: int = 2048) -> DataFrame:
+def successors(docs: DataFrame) -> DataFrame:
     """(doc_id, next_id, n_chars): the next larger doc_id, after the largest the smallest; n_chars is of the longest row.
 
-    Ids are ordered within ranges of ``width``; only each range's smallest id takes part in ordering the ranges.
+    Ids are dealt to ranges, which are written so that they stay as they are; each is ordered by itself, and only the
+    ranges' smallest ids, as many as there are partitions, are ordered together.
     """
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars")).withColumn("range", F.expr(f"(doc_id - pmod(doc_id, {width})) div {width}"))
+    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
+    ids = cut(ids.repartitionByRange("doc_id").withColumn("range", F.spark_partition_id()))
     heads = ids.groupBy("range").agg(F.min("doc_id").alias("head"))
     order = Window.orderBy("range")
     after = heads.select("range", F.coalesce(F.lead("head").over(order), F.first("head").over(order.rowsBetween(Window.unboundedPreceding, 0))).alias("following"))

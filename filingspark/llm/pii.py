@@ -120,8 +120,12 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, share: float = 0.9) -> DataFrame:
     """(doc_id, h, kind, start, end, base): the base rules' spans and those the trees add."""
-    whole = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind", F.desc("base"))
-    earlier, later = whole.rowsBetween(Window.unboundedPreceding, -1), whole.rowsBetween(1, Window.unboundedFollowing)
+    # Later spans are earlier ones of the opposite order: a frame that grows is kept up, one that shrinks is computed anew for each row.
+    order = [F.asc, F.asc, F.asc, F.desc]
+    names = ("start", "end", "kind", "base")
+    part = Window.partitionBy("doc_id", "h")
+    earlier = part.orderBy(*(f(c) for f, c in zip(order, names))).rowsBetween(Window.unboundedPreceding, -1)
+    later = part.orderBy(*((F.asc if f is F.desc else F.desc)(c) for f, c in zip(order, names))).rowsBetween(Window.unboundedPreceding, -1)
     ends = lambda test: F.coalesce(F.max(F.when(test, F.col("end"))).over(earlier), F.lit(-1))
     begins = lambda test: F.coalesce(F.min(F.when(test, F.col("start"))).over(later), F.lit(1 << 60))
     same = [F.max(F.when(F.col("base") & (F.col("kind") == k), F.col("end"))).over(earlier) for k in KINDS]

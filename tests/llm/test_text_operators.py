@@ -198,6 +198,10 @@ def test_fingerprints(docs, rows):
         assert prints.setdefault(t, r.fingerprint) == r.fingerprint
         a, b = shingles(t), shingles(r.edited)
         assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)) < 0.25
+        c = shingles(following)
+        assert abs(r.near_next - (len(a & c) / len(a | c) if a | c else 1)) < 0.25
+    again = oph.fingerprints(docs.sparkSession.createDataFrame([(r.doc_id, r.edited) for r in got], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.fingerprint) for r in again] == [(r.doc_id, r.edited_fingerprint) for r in got]
 
 
 def test_quality_keeps_good_and_drops_junk(spark):
@@ -297,3 +301,106 @@ def test_written_out_addresses_need_no_other_sign(spark):
     far = {i: f"write {s} soon" for i, s in enumerate(spans)} | {i + 10: f"write {s} soon, or @ 1 dot" for i, s in enumerate(spans)} | {30: "we met at home"}
     seen = pii.proposals(spark.createDataFrame(list(far.items()), "doc_id long, text string")).where("kind = 'email'")
     assert {(r.doc_id, r.start, r.end) for r in seen.collect()} == {(i + k, 6, 6 + len(s)) for i, s in enumerate(spans) for k in (0, 10)}
+
+
+def test_successors_of_sparse_and_repeated_ids(spark):
+    ids = [-5, 0, 3, 3, 10**15, 10**6, None]
+    got = {r.doc_id: r.next_id for r in oph.successors(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").repartition(4)).collect()}
+    known = sorted({i for i in ids if i is not None})
+    assert got == dict(zip(known, known[1:] + known[:1]))
+
+
+def test_simhash_fingerprint_is_the_stated_one(spark):
+    from xxhash import xxh64_intdigest
+
+    texts = [*ODD, "One two", "a b c", "a b c a b c a b c d", prose(200), "É\x0bb\x0cC\x1dd e"]
+
+    def brute(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        words = [w for w in re.split("[\x20\x09-\x0d]+", low) if w]
+        hashes = [xxh64_intdigest(" ".join(words[i : i + 3]).encode(), 42) for i in range(max(1, len(words) - 2))] if words else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    got = simhash.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.fp & (1 << 64) - 1 for r in got} == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_sites_shrink_and_decide(spark):
+    good, junk = [f"{prose(60).capitalize()}." for _ in range(120)], [" ".join(f"{w.upper()}!!" for w in prose(12).split()) * 5 for _ in range(120)]
+    labels = spark.createDataFrame([(i, int(i < 120)) for i in range(240)], "doc_id long, quality int")
+    train = spark.createDataFrame(list(enumerate(good + junk)), "doc_id long, text string")
+    model = quality.train(train, labels)
+    words = prose(60).split()
+    mixed = [" ".join([w.upper() + "!!" if i < k else w for i, w in enumerate(words)]) for k in range(61)]
+    scored = spark.createDataFrame(list(enumerate(mixed)), "k int, text string").select("k", quality.evidence(model, F.col("text")).alias("e")).collect()
+    border = mixed[min(scored, key=lambda r: abs(r.e)).k]
+    rows = [(i, t, "good", "p") for i, t in enumerate(good)] + [(120 + i, t, "bad", "q") for i, t in enumerate(junk)]
+    rows += [(500, border, "good", "p"), (501, border, "bad", "q"), (502, border, "rare", "r")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in quality.classify(df, labels, F.col("source"), F.col("lang")).collect()}
+    assert got[500]["__keep"] and not got[501]["__keep"] and got[500]["__evidence"] == got[501]["__evidence"]
+    # brute force of the posteriors, from the evidence alone
+    p = {}
+    for r in got.values():
+        p.setdefault((r["__host"], r["__path"]), []).append(1 / (1 + np.exp(-r["__evidence"])))
+    cells = {k: (len(v), sum(v)) for k, v in p.items()}
+    n, s = sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values())
+    mean = s / n
+
+    def strength(groups, centres):
+        inside, ss = mean * (1 - mean), sum(k * (t / k - c) ** 2 for (k, t), c in zip(groups, centres))
+        between = (ss - (len(groups) - 1) * inside) / max(n - sum(k * k for k, _ in groups) / n, 1e-9)
+        return min(max(inside / between - 1, 1.0), 1e6) if between > 0 else 1e6
+
+    a = strength(list(cells.values()), [mean] * len(cells))
+    host = {k: (t + a * mean) / (m + a) for k, (m, t) in cells.items()}
+    b = strength(list(cells.values()), [host[k] for k in cells])
+    sites = quality.site_posteriors(spark.createDataFrame([(*k, float(x)) for k, v in p.items() for x in v], "host string, path string, p double")).collect()
+    for r in sites:
+        k = (r.host, r.path)
+        assert r.host_posterior == pytest.approx(host[k]) and r.path_posterior == pytest.approx((cells[k][1] + b * host[k]) / (cells[k][0] + b))
+    one = next(r for r in sites if r.host == "rare")
+    assert abs(one.path_posterior - mean) < abs(cells["rare", "r"][1] - mean) + 1e-9 and abs(one.path_posterior - mean) < 0.1
+
+
+def test_audio_recall_of_noisy_and_shifted_recordings(spark):
+    r = np.random.default_rng(8)
+    tunes = [np.frombuffer(audio.sonify(r.normal(0, 1, 64).tolist()), "<i2") for _ in range(12)]
+    pcm = {50 * (i + 1): t for i, t in enumerate(tunes)}
+    changed = {}
+    for i, t in enumerate(tunes):
+        for j, (shift, noise) in enumerate([(0, 200), (7, 0), (5, 300), (12, 600)]):
+            part = t[shift * audio.HOP :]
+            changed[50 * (i + 1) + j + 1] = (50 * (i + 1), -shift)
+            pcm[50 * (i + 1) + j + 1] = (part + r.normal(0, noise, len(part))).astype("<i2") if noise else part
+    codes = {i: np.array(audio.fingerprint(x.tobytes())).view("u4") for i, x in pcm.items()}
+
+    def errors(a, b):
+        """Bit error at each offset with at least eight places."""
+        out = {}
+        for o in range(-len(a) + 8, len(b) - 7):
+            lo, hi = max(0, -o), min(len(a), len(b) - o)
+            out[o] = np.bitwise_count(a[lo:hi] ^ b[lo + o : hi + o]).mean() / 32
+        return out
+
+    brute = {}
+    for i in changed:
+        found = {(q, o): e for q in codes if q % 50 == 0 for o, e in errors(codes[q], codes[i]).items()}
+        brute[i] = min(found, key=found.get)
+    assert brute == changed
+    df = spark.createDataFrame([(i, c.view("i4").tolist()) for i, c in codes.items()], "id long, fingerprint array<int>")
+    best = {x.id: (x.query_id, x.offset) for x in audio.align(df, F.col("id") % 50 == 0).where("place = 1").collect()}
+    assert sum(best.get(i) == brute[i] for i in changed) >= 0.9 * len(changed)
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    from filingspark.llm import near_texts
+
+    a, b = prose(40), prose(40)
+    df = spark.createDataFrame([(1, a, 1), (2, a, 2), (2, b, 3), (3, b, 4), (3, b, 4), (4, None, 5), (None, a, 6)], "doc_id long, text string, __id int")
+    kept = near_texts.drop_copies(df)
+    assert kept.columns == df.columns and sorted(r["__id"] for r in kept.collect()) == [1, 3, 5, 6]
+    twice = spark.createDataFrame([(9, b), (9, b)], "doc_id long, text string")
+    assert near_texts.drop_copies(twice).count() == 1 and near_texts.drop_copies(twice.limit(0)).count() == 0
+    lines = line_dedup.dedup_lines(df).orderBy("__id").collect()
+    assert [r.text for r in lines] == [a, "", b, "", "", None, a]
