@@ -35,7 +35,8 @@ def op3_line_dedup(spark, sf_dir):
 
 def op4_token_counts(spark, sf_dir):
     counted = token_counts.token_prefix_counts(_read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
-    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+    fits = token_counts.longest_prefix(F.col("prefix_counts"), F.lit(1024)).alias("cut_at")
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), fits)
 
 
 def op5_simhash(spark, sf_dir):
@@ -87,5 +88,5 @@ def queries():
 
 
 def oracle_sql():
-    """SQL is given where it's quick on whole tables."""
+    """None: each operator hashes, trains, tokenizes or joins by similarity, which SQL can't express or not on whole tables. Brute-force versions are in tests/llm."""
     return {}

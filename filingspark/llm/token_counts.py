@@ -28,12 +28,6 @@ _TWO = re.compile(f"[{SPACE}][{SPACE}]|[{SPACE.replace(' ', '').replace(chr(10),
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, prefix_counts binary"
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 for itself, the rest from U+0100 on."""
-    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    return {chr(b): b for b in own} | {chr(0x100 + i): b for i, b in enumerate(x for x in range(256) if x not in own)}
-
-
 class PrefixCounter:
     """Counts at every prefix for one byte-level vocabulary. A count is kept as its step from the prefix one code point shorter."""
 

@@ -1,6 +1,7 @@
 """Each stage takes effect on what the one before it kept."""
 
 import corpus_pipeline as C
+import pytest
 
 DIR = "/root/testdata/sf0.001"
 
@@ -20,3 +21,19 @@ def test_stages(spark, tmp_path):
     assert simhash.near_duplicates(kept[3]).where("doc_id <> component_id").count() == 0
     assert kept[4].where(r"text rlike '[A-Za-z0-9]@[a-z0-9]+[.]'").count() == 0
     assert {r.doc_id for r in kept[5].select("doc_id").collect()} == {r.doc_id for r in kept[4].select("doc_id").collect()}
+
+
+@pytest.mark.parametrize("rows", ["none", "odd"])
+def test_stages_on_empty_and_odd_tables(spark, rows):
+    """Nulls in any column, repeated rows and ids, and empty texts pass all stages; nothing crashes."""
+    schema = spark.read.parquet(f"{DIR}/documents.parquet").schema
+    text = "This is a plain sentence about rivers and the towns beside them."
+    odd = [(1, text, None, None, None), (1, text, None, None, None), (1, text + " Another end.", "en", "s", 3), (None, text, "en", "s", 3), (2, None, None, "s", None), (3, "", "en", None, 0), (4, " \n\t", "en", "s", 1)]
+    order = ("doc_id", "text", "lang", "source", "n_chars")
+    docs = spark.createDataFrame([tuple(dict(zip(order, r)).get(f.name) for f in schema) for r in ([] if rows == "none" else odd)], schema)
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), schema)
+    packed = C.STAGES[-1][1](spark, docs, DIR)
+    assert packed.count() == (0 if rows == "none" else packed.count()) and packed.columns[0] == "doc_id"

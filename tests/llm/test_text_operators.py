@@ -404,3 +404,55 @@ def test_rows_of_one_id_are_told_apart(spark):
     assert near_texts.drop_copies(twice).count() == 1 and near_texts.drop_copies(twice.limit(0)).count() == 0
     lines = line_dedup.dedup_lines(df).orderBy("__id").collect()
     assert [r.text for r in lines] == [a, "", b, "", "", None, a]
+
+
+def test_more_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+    assert token_counts.token_prefix_counts(none, vocabulary("byte_bpe_50k.json")).count() == 0
+    assert pii.redact(none).count() == line_dedup.line_report(none).count() == oph.fingerprints(none).count() == 0
+    turns = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat.format_conversations(turns).count() == 0
+    prints = audio.fingerprints(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm")
+    assert prints.count() == audio.align(prints, F.col("id") % 50 == 0).count() == 0
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    names = ["__id", "__removed", "__h", "h", "d", "tag", "place", "words", "removed", "n", "fp", "__host", "start", "end"]
+    text = f"{prose(12)}\n{prose(9)} a@b.com"
+    rows = [(i, t, *[i] * len(names)) for i, t in enumerate([text, text, None, "", "call +1 (988) 555-2485"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    from filingspark.llm import near_texts
+
+    for out in (line_dedup.dedup_lines(df), pii.redact(df), near_texts.drop_copies(df)):
+        assert out.columns == df.columns and all(r["tag"] == r["doc_id"] for r in out.collect())
+    labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, quality int")
+    kept = quality.classify(df.drop("__host"), labels, F.lit("s"), F.lit("l"))
+    assert kept.count() == len(rows)
+    for out in (line_dedup.line_report(df), pii.find_pii(df), oph.edited_likeness(df), simhash.near_duplicates(df)):
+        assert out.count() == len(rows)
+
+
+def test_very_long_texts(spark):
+    long_line, many = " ".join(str(i) for i in range(60_000)), "\n".join(f"line number {i} of many" for i in range(20_000))
+    df = spark.createDataFrame([(1, long_line), (2, long_line + " end"), (3, many), (4, "1.2.3.4 " * 20_000)], "doc_id long, text string")
+    report = {r.doc_id: r for r in line_dedup.line_report(df).collect()}
+    assert report[2].n_removed == 1 and report[1].n_removed == 0 and report[3].n_lines == 20_000
+    found = {r.doc_id: r.n_ip for r in pii.find_pii(df).collect()}
+    assert found[4] == 20_000 and found[3] == 0
+    assert {r.doc_id: r.near_next > 0.9 for r in oph.edited_likeness(df).collect()}[1]
+    packed = packing.pack(df, vocabulary("word_bpe_49k.json")).groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t")).collect()
+    assert all(r.n == r.t for r in packed)
+
+
+def test_packing_at_production_size(spark):
+    df = spark.createDataFrame([(i, prose(rnd.randint(0, 900))) for i in range(300)], "doc_id long, text string").repartition(2)
+    rows = packing.pack(df, vocabulary("word_bpe_49k.json")).collect()
+    ends = {}
+    for r in rows:
+        ends[r.sequence_id] = max(ends.get(r.sequence_id, 0), r.offset + r.length)
+    assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
+    padding = sum(0 if n & (n - 1) == 0 else 4096 - n for n in ends.values())
+    assert max(ends.values()) <= 4096 and padding < 0.05 * sum(ends.values())
+    for s in ends:
+        places = sorted((r.offset, r.length) for r in rows if r.sequence_id == s)
+        assert all(a + n == b for (a, n), (b, _) in zip(places, places[1:])) and places[0][0] == 0
