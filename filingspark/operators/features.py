@@ -15,13 +15,13 @@ from .joins import lookup, prune_low_coverage
 from .panel import RATIO_NAMES, missing_flags, ratios, yoy
 from .quantiles import _place, knots, quantiles
 
-METHODS = ("zscore", "quantile")
+METHODS = ("zscore", "quantile", "winsorize", "impute")
 #: Values nearer than this to the lowest or highest knot count as it; normal scores end at the quantile of this probability.
 EDGE, FARTHEST = 1e-7, 5.199337582605575
 
 
 class PanelScaler:
-    """Median imputation, winsorising, then z-scores or normal scores by quantile knots. Only the statistics, a few numbers a column and at most 1000 knots, come to the driver.
+    """Median imputation, winsorising, then z-scores or normal scores by quantile knots; the methods "impute" and "winsorize" end before. Only the statistics, a few numbers a column and at most 1000 knots, come to the driver.
 
     Fitting without rows leaves values as they are, but for missing ones, which become 0.
     """
@@ -48,13 +48,15 @@ class PanelScaler:
             medians = dict.fromkeys(self.columns, 0.0) | {r.feature: r.q[0] for r in quantiles(long, ["feature"], "value", [0.5]).collect()}
             filled = long.withColumn("value", F.coalesce("value", _by_feature({c: [m] for c, m in medians.items()})[0]))
             bounds = {r.feature: list(r.q) for r in quantiles(filled, ["feature"], "value", [self.low, self.high]).collect()}
-            if bounds:
+            if bounds and self.method != "impute":
                 of = _by_feature(bounds)
                 clipped = filled.withColumn("value", clip(F.col("value"), of[0], of[1]))
                 if self.method == "zscore":
                     rest = {r.feature: {"mean": r.m, "std": r.s if (r.s or 0.0) > 1e-12 else 1.0} for r in clipped.groupBy("feature").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s")).collect()}
-                else:
+                elif self.method == "quantile":
                     rest = {r.feature: {"knots": list(r.knots)} for r in knots(clipped, ["feature"], "value").collect()}
+                else:
+                    rest = dict.fromkeys(self.columns, {})
                 self.stats = {c: {"median": medians[c], "low": bounds[c][0], "high": bounds[c][1], **rest[c]} for c in self.columns}
             else:
                 self.stats = {c: {"median": medians[c]} for c in self.columns}

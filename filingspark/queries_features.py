@@ -25,6 +25,15 @@ def scaler_quantile(spark, sf):
     return scaled.select("cik", "fiscal_year", *(F.round(c, 4).alias(c) for c in _COLS))
 
 
+def _step(method):
+    def run(spark, sf):
+        p, train = _panel(spark, sf)
+        scaled = N.PanelScaler(_COLS, method=method).fit(train).transform(p)
+        return scaled.select("cik", "fiscal_year", *(F.round(c, 4).alias(c) for c in _COLS))
+
+    return run
+
+
 def scaler_fit_stats(spark, sf):
     t = N.PanelScaler(_COLS).fit(_panel(spark, sf)[1]).table(spark)
     return t.select("feature", *(F.round(c, 4).alias(c) for c in ("median", "low", "high", "mean", "std")))
@@ -87,6 +96,8 @@ _MATRIX = (
 _Q_COLS = ("cik", "fiscal_year", "split")
 QUERIES = {
     "scaler_quantile": (scaler_quantile, f"with {Q._SCALE}, {_KNOTS}, {_CLIPPED}, {_FOUND}, {_RANKED} select cik, fiscal_year, {_SCORED} from ra"),
+    "scaler_impute": (_step("impute"), f"with {Q._SCALE} select cik, fiscal_year, {', '.join(f'round(coalesce(p.{c}, md.{c}), 4) as {c}' for c in _COLS)} from {{panel}} p, md"),
+    "scaler_winsorize": (_step("winsorize"), f"with {Q._SCALE}, {_CLIPPED} select cik, fiscal_year, {', '.join(f'round({c}, 4) as {c}' for c in _COLS)} from cl"),
     "scaler_fit_stats": (scaler_fit_stats, f"with {Q._SCALE} " + " union all ".join(f"select '{c}' as feature, round(md.{c}, 4) as median, round(lo_{c}, 4) as low, round(hi_{c}, 4) as high, round(m_{c}, 4) as mean, round(s_{c}, 4) as std from md, bo, mo" for c in _COLS)),
     "feature_matrix": (feature_matrix, f"with {_MATRIX} select cik, fiscal_year, split, im.feature, round((greatest(a, least(z, v)) - m) / s, 4) + 0.0 as value from im join bo on im.feature = bo.feature join mo on im.feature = mo.feature union all select cik, fiscal_year, split, feature || '_missing', cast(value is null as double) from im union all select cik, fiscal_year, split, 'is_first_year', cast(first as double) from fe union all select fe.cik, fiscal_year, split, 'sector_idx', cast(s.idx as double) from fe left join {{company_sector}} c on fe.cik = c.cik left join {{sector_list}} s on s.sector = coalesce(c.sector, 'Other')"),
     "labelled_rows": (labelled_rows, f"with {Q._REC} select p.cik, p.fiscal_year, p.period_end, label as y, {', '.join(f'coalesce({c}, 0.0) as {c}' for c in _COLS)} from {{panel}} p join rec on p.cik = rec.cik and p.period_end = rec.period_end where source <> 'edgar'"),

@@ -125,6 +125,14 @@ def universe(spark, sf):
     return u.select("cik", "n_filings", "coverage", F.col("is_current").cast("int").alias("is_current"), "company_name", "ticker", "exchange", "sic_code", "state", "sector")
 
 
+def universe_enrich(spark, sf):
+    """Beside the enriched rows those without company data."""
+    names = P.latest_value(view(spark, sf, "filing"), "cik", "company_name", ["date_filed", "filename"])
+    bare = P.universe_enrich(_coverage(spark, sf), names).withColumn("enriched", F.lit(0))
+    shown = ["cik", "company_name", "ticker", "exchange", "sic_code", "state", "sector", "enriched"]
+    return _enriched(spark, sf).withColumn("enriched", F.lit(1)).select(shown).union(bare.select(shown))
+
+
 def universe_summary(spark, sf):
     return P.universe_summary(_enriched(spark, sf))
 
@@ -304,6 +312,7 @@ QUERIES = {
     "primary_listing": (primary_listing, "select ticker, cik, exchange from (select *, row_number() over (partition by ticker order by case when exchange in ('AUTOMOBILE', 'MACHINERY') then 0 else 1 end, custkey) as k from {company}) t where k = 1"),
     "top_exchanges": (top_exchanges, "select case when custkey % 5 <> 0 then exchange else 'Unknown' end as exchange, count(*) as n from {company} group by 1 order by n desc, exchange limit 3"),
     "universe": (universe, f"with {_UNI} select * exclude (first_filed, last_filed) from uni"),
+    "universe_enrich": (universe_enrich, f"with {_UNI} select cik, company_name, ticker, exchange, sic_code, state, sector, 1 as enriched from uni union all select cik, company_name, null, null, null, null, null, 0 from uni"),
     "universe_summary": (universe_summary, f"with {_UNI} select count(*) as n_companies, round(avg(case when ticker is not null then 1 else 0 end) * 100, 4) as pct_ticker, round(avg(case when coverage >= 0.8 then 1 else 0 end) * 100, 4) as pct_covered, round(avg(is_current) * 100, 4) as pct_current, min(first_filed) as earliest, max(last_filed) as latest from uni"),
     "resolve_features": (resolve_features, f"with {_RES} select * from res"),
     "total_debt": (total_debt, f"with {_RES} select cik, fy, round(sum(val), 2) as total_debt, count(*) as n_parts from res where feature in {_IN(DEBT)} group by 1, 2"),
@@ -322,6 +331,7 @@ QUERIES = {
     "missing_flags": (missing_flags, "select cik, fiscal_year, " + ", ".join(f"cast({c} is null as int) as {c}_missing" for c in _PANEL_COLS) + " from {panel}"),
     "scaler_zscore": (scaler_zscore, f"with {_SCALE} select cik, fiscal_year, {_SCALED} from {{panel}} p, md, bo, mo"),
     "make_splits": (make_splits, "select case when period_end <= date '1997-12-31' then 'train' when period_end <= date '1998-12-31' then 'val' else 'test' end as split, count(*) as n_rows, count(distinct cik) as n_companies, min(period_end) as first, max(period_end) as last from {panel} where period_end <= date '2000-12-31' group by 1"),
+    "describe_splits": (make_splits, "select case when period_end <= date '1997-12-31' then 'train' when period_end <= date '1998-12-31' then 'val' else 'test' end as split, count(*) as n_rows, count(distinct cik) as n_companies, min(period_end) as first, max(period_end) as last from {panel} where period_end <= date '2000-12-31' group by 1"),
     "rolling_configs": (rolling_configs, f"with {_FOLDS} select * from folds where test_end <= (select max(period_end) from {{panel}})"),
     "rolling_splits": (rolling_splits, f"with {_FOLDS} select fold, case when period_end <= train_end then 'train' when period_end <= val_end then 'val' else 'test' end as split, count(*) as n_rows, count(distinct cik) as n_companies, min(period_end) as first, max(period_end) as last from {{panel}} join folds on period_end <= test_end group by 1, 2"),
     "temporal_cv": (temporal_cv, "with ys as (select y, cast(row_number() over (order by y desc) as int) as k from (select distinct fiscal_year as y from {panel}) t), f as (select 3 - k as fold, y as val_year from ys where k <= 3) select fold, case when fiscal_year = val_year then 'val' else 'train' end as part, count(*) as n, min(fiscal_year) as first, max(fiscal_year) as last from {panel} join f on fiscal_year <= val_year group by 1, 2"),
