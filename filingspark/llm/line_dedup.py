@@ -86,8 +86,9 @@ def signatures(docs: DataFrame) -> DataFrame:
     The prefix has 32-bit hashes: a collision adds a candidate pair, which the exact count rejects. The bitmap has 64
     bits, for more than 64 words 128, which fold to 64.
     """
-    levels, low = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<tinyint>"), F.lit((1 << 56) - 1)
-    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), F.lit(0).cast("tinyint"))
+    # Bytes are a smaller literal than an array of numbers.
+    levels, low = F.lit(rarity(docs)), F.lit((1 << 56) - 1)
+    level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1)))
     key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
     # The test is of the line: Spark would push one of the hashes below them and hash all words twice.
     lines = _lines(_lowered(docs)).where(F.trim("line") != "").select("doc_id", "place", _hashes(F.col("line")).alias("hashes"))
