@@ -88,11 +88,12 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, least: int = 256) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, least: int = 256, known_words: int = 400_000, portion: int = 16_000_000) -> DataFrame:
     """The pieces of all documents with their place: (doc_id, start, length, doc_tokens, sequence_id, offset, ids).
 
     A document is its ids and ``end_id``; each id lies in exactly one piece. ``capacity`` is a power of two. Null and
-    empty texts are just ``end_id``; repeated rows and null ids are packed like any other; an empty table gives no rows.
+    empty texts are just ``end_id``. A worker remembers about ``known_words`` words and reads ``portion`` bytes of text at
+    once; smaller numbers take less memory and more time, and give the same result. Repeated rows and null ids are packed like any other; an empty table gives no rows.
     """
     if capacity & (capacity - 1) or least > capacity:
         raise ValueError("capacity must be a power of two, and least not above it")
@@ -102,7 +103,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        words = table(tokenizer_path, 160_000)
+        words = table(tokenizer_path, known_words)
         packer = Packer(TaskContext.get().partitionId(), capacity, least)
         kinds = [pa.int64()] * 6 + [pa.binary()]
         names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
@@ -113,7 +114,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         rows: list[tuple] = []
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for start, texts in portions(batch.column(1), 6_000_000):
+            for start, texts in portions(batch.column(1), portion):
                 ids, ends = words.encode(texts)
                 for i in range(len(texts)):
                     rows += packer.add(doc_ids[start + i], np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)))
