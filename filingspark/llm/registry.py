@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import audio, chat, chunk_bpe, line_dedup, oph, packing, pii, quality, simhash, token_counts
+from . import audio, chat, chunk_bpe, fim, lexical, line_dedup, oph, packing, partenum, pii, quality, simhash, token_counts
 
 
 def vocabulary(name: str) -> str:
@@ -74,13 +74,26 @@ def op10_fingerprints(spark, sf_dir):
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    formed = fim.restored(fim.fill_in_middle(_read(spark, sf_dir, "documents")))
+    return formed.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op12_partenum(spark, sf_dir):
+    return partenum.similar_components(_read(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-_ALL = (op1_quality, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_chat_format, op7_bpe_chunks, op8_harmonic_packing, op9_chroma_audio, op10_fingerprints, pipeline)
+_ALL = (op1_quality, op2_pii, op3_line_dedup, op4_token_counts, op5_simhash, op6_chat_format, op7_bpe_chunks, op8_harmonic_packing, op9_chroma_audio, op10_fingerprints, op11_fill_in_middle, op12_partenum, op13_lexical_search, pipeline)
 
 
 def queries():
