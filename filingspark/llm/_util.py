@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def shared_dir(spark) -> str:
@@ -52,6 +52,27 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()), *more)
 
 
-def text_tag(text: Column) -> Column:
-    """20 bits of a text's hash, which tell apart rows of one doc_id."""
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << 20) - 1))
+def text_parts(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame | None:
+    """(doc_id, h1, h2, part): numbers from 0 for the different texts of each doc_id that several rows have, in the order of two 64-bit hashes; None where no doc_id repeats, which the doc_ids alone tell. A null text counts as empty."""
+    known = documents_of(docs).where("doc_id is not null")
+    again = cut(known.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if again.isEmpty():
+        discard(again)
+        return None
+    texts = known.join(small_side(again, broadcast_rows), "doc_id", "left_semi").select("doc_id", *_two_hashes()).distinct()
+    order = Window.partitionBy("doc_id").orderBy("h1", "h2")
+    return cut(texts.withColumn("part", (F.row_number().over(order) - 1).cast("long")), again)
+
+
+def _two_hashes():
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2")
+
+
+def numbered(texts: DataFrame, parts: DataFrame | None, broadcast_rows: int = 500_000) -> DataFrame:
+    """``texts`` (doc_id, text, …) with ``part``, which tells apart the different texts of one doc_id: 0 where there is one only."""
+    if parts is None:
+        return texts.withColumn("part", F.lit(0).cast("long"))
+    hashed = texts.select("*", *_two_hashes())
+    met = hashed.join(small_side(parts, broadcast_rows), ["doc_id", "h1", "h2"], "left")
+    return met.select(*texts.columns, F.coalesce("part", F.lit(0).cast("long")).alias("part"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._util import cut
+from ._util import cut, discard
 
 
 def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -18,11 +18,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that both sides of the join are shuffled plainly and a node with most links is split.
+        least = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = cut(low.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct())
+        links = cut(low.select("a", F.col("m").alias("b")).union(small).where("a <> b").distinct(), links)
+        discard(least)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break

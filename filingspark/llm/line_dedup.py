@@ -22,7 +22,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._util import cut, discard, documents_of, small_side, text_tag
+from ._util import cut, discard, documents_of, numbered, small_side, text_parts
 
 _BUCKETS = 1 << 18
 _FEW = 64
@@ -31,17 +31,17 @@ _BITS = ("b0", "b1")
 _RARE = r"[^\n -\x84[\xa1-\x{167f}[\x{1681}-\x{1fff}[\x{3001}-\x{10ffff}[\x00-\x08\x0e-\x1b\x86-\x9f\x{200b}-\x{2027}\x{202a}-\x{202e}\x{2030}-\x{205e}\x{2060}-\x{2fff}]]]]]"
 
 
-def _lowered(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, text): lower-cased, blanks for all white space but line ends."""
-    texts = documents_of(docs).where("doc_id is not null and text is not null")
-    low = texts.select("doc_id", text_tag(F.col("text")).alias("tag"), F.lower("text").alias("text"))
-    return low.select("doc_id", "tag", F.when(F.col("text").rlike(_RARE), F.regexp_replace("text", _RARE, " ")).otherwise(F.col("text")).alias("text"))
+def _lowered(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(doc_id, part, text): lower-cased, blanks for all white space but line ends."""
+    texts = numbered(documents_of(docs).where("doc_id is not null and text is not null"), parts)
+    low = texts.select("doc_id", "part", F.lower("text").alias("text"))
+    return low.select("doc_id", "part", F.when(F.col("text").rlike(_RARE), F.regexp_replace("text", _RARE, " ")).otherwise(F.col("text")).alias("text"))
 
 
 def _lines(lowered: DataFrame) -> DataFrame:
-    """(doc_id, place, line): ``place`` packs the text's tag and the line's number from 0."""
-    lines = lowered.select("doc_id", "tag", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return lines.select("doc_id", F.shiftleft("tag", 32).bitwiseOR(F.col("line_no").cast("long")).alias("place"), "line")
+    """(doc_id, place, line): ``place`` packs the text's part and the line's number from 0."""
+    lines = lowered.select("doc_id", "part", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", F.shiftleft("part", 32).bitwiseOR(F.col("line_no").cast("long")).alias("place"), "line")
 
 
 def _hashes(line: Column) -> Column:
@@ -77,7 +77,7 @@ def _leads(hashes: str) -> Column:
     return F.array(F.hash(a, F.array_min(F.array_remove(hashes, a))), F.hash(z, F.array_max(F.array_remove(hashes, z))), F.hash(a, z))
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
     """(doc_id, place, n, h1, h2, prefix, leads, plain, b0, b1) of each line with a word; h1 and h2 tell the sets apart.
 
     ``leads`` are hashes of three pairs of words, which near copies mostly share: those of the smallest hashes, those of
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1)))
     key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
     # The test is of the line: Spark would push one of the hashes below them and hash all words twice.
-    lines = _lines(_lowered(docs)).where(F.trim("line") != "").select("doc_id", "place", _hashes(F.col("line")).alias("hashes"))
+    lines = _lines(_lowered(docs, parts)).where(F.trim("line") != "").select("doc_id", "place", _hashes(F.col("line")).alias("hashes"))
     lines = lines.select("doc_id", "place", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"), _leads("hashes").alias("leads"))
     n, prefix = F.col("n"), F.expr("slice(keys, 1, n - (4 * n + 4) div 5 + 1)")
     bits = [F.when(n <= _FEW, _parity(1, 0) if i == 0 else F.lit(0)).otherwise(_parity(2, i)) for i in range(2)]
@@ -156,10 +156,10 @@ def _pairs(classes: DataFrame) -> DataFrame:
     return met.select(*ids).distinct()
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets(docs: DataFrame, parts: DataFrame | None, wanted: DataFrame) -> DataFrame:
     """(doc_id, place, words) of the wanted lines; lines of repeated rows repeat. Documents without one are left before they are split."""
     some = documents_of(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    lines = _lines(_lowered(some)).join(wanted, ["doc_id", "place"], "left_semi")
+    lines = _lines(_lowered(some, parts)).join(wanted, ["doc_id", "place"], "left_semi")
     return lines.select("doc_id", "place", _hashes(F.col("line")).alias("words"))
 
 
@@ -203,33 +203,33 @@ def matches(lines: DataFrame, sets_of: Callable[[DataFrame], DataFrame], broadca
     return found
 
 
-def later_matches(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """(doc_id, tag, line_no), line numbers from 0: the lines that go. Only (doc_id, tag) names a row's text."""
-    found = matches(signatures(docs), lambda wanted: _sets(docs, wanted), broadcast_rows)
-    return found.select("doc_id", F.shiftright("place", 32).alias("tag"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
+def later_matches(docs: DataFrame, parts: DataFrame | None = None, broadcast_rows: int = 500_000) -> DataFrame:
+    """(doc_id, part, line_no), line numbers from 0: the lines that go. ``parts`` of ``text_parts`` tells apart the texts of one doc_id; without it doc_ids don't repeat."""
+    found = matches(signatures(docs, parts), lambda wanted: _sets(docs, parts, wanted), broadcast_rows)
+    return found.select("doc_id", F.shiftright("place", 32).alias("part"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no"))
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, removed): the line numbers that go, for each document that loses any."""
-    return later_matches(docs).groupBy("doc_id", "tag").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+def removed_lines(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """(doc_id, part, removed): the line numbers that go, for each text that loses any."""
+    return later_matches(docs, parts).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` without the lines that go; all rows and columns stay, null and empty texts and rows without a doc_id as they are. An empty table gives no rows.
+def _with_removed(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, text, part, removed) for every row, its columns in the struct ``doc``: by doc_id, in one shuffle."""
+    parts = text_parts(docs)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return numbered(rows, parts).join(removed_lines(docs, parts), ["doc_id", "part"], "left")
 
-    The texts meet their removed lines by doc_id, in one shuffle.
-    """
-    d, gone = docs.alias("d"), removed_lines(docs).alias("g")
-    text = F.col("d.text").cast("string")
-    rows = d.join(gone, (F.col("d.doc_id").cast("long") == F.col("g.doc_id")) & (text_tag(text) == F.col("g.tag")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(F.col("g.removed"), i)), "\n")
-    clean = F.when(F.col("g.removed").isNull(), F.col("d.text")).otherwise(kept)
-    return rows.select(*(clean.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
+
+def dedup_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` without the lines that go; all rows and columns stay, null and empty texts and rows without a doc_id as they are. An empty table gives no rows. A very long text is split into its lines by one task."""
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    clean = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept)
+    return _with_removed(docs).select(*(clean.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for every row of ``docs``; a null text has no lines."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
-    rows = documents_of(docs).select("doc_id", text_tag(F.col("text")).alias("tag"), n_lines.alias("n_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return rows.join(removed_lines(docs), ["doc_id", "tag"], "left").select("doc_id", "n_lines", F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    return _with_removed(documents_of(docs)).select("doc_id", n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))

@@ -180,20 +180,22 @@ def find_pii(docs: DataFrame, share: float = 0.9) -> DataFrame:
 
 
 def redact(docs: DataFrame, share: float = 0.9) -> DataFrame:
-    """``docs`` with each span's text replaced by its kind, as in [EMAIL]; of overlapping base spans, the whole stretch by the first one's. All columns stay; a null text stays null.
+    """``docs`` with each span's text replaced by its kind, as in [EMAIL]; of overlapping base spans, the whole stretch by the first one's. All columns stay, whatever their names; a null text stays null.
 
-    The texts meet their spans by doc_id, in one shuffle.
+    Rows that repeat are each redacted, also those without a doc_id. An empty table gives no rows. The texts meet their
+    spans by doc_id, in one shuffle.
     """
     order = Window.partitionBy("doc_id", "h").orderBy("start", "end", "kind")
     past = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     stretch = spans(docs, share).withColumn("new", (F.col("start") >= past).cast("int")).withColumn("n", F.sum("new").over(order))
     stretch = stretch.groupBy("doc_id", "h", "n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
     found = stretch.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("s")).alias("f")
-    rows = docs.withColumn("__h", F.xxhash64("text")).alias("d")
-    joined = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.__h") == F.col("f.h")), "left")
-    text = F.col("d.text")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h")).alias("d")
+    joined = rows.join(found, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.h") == F.col("f.h")), "left")
+    text = F.col("d.doc.text").cast("string")
     upto = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("f.s"), i - 1)["end"]).cast("int")
     pieces = F.transform(F.col("f.s"), lambda s, i: F.concat(F.substring(text, upto(i) + 1, s["start"].cast("int") - upto(i)), F.lit("["), F.upper(s["kind"]), F.lit("]")))
     rest = F.substring(text, F.element_at(F.col("f.s"), -1)["end"].cast("int") + 1, F.length(text))
     clean = F.when(F.col("f.s").isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), rest))
-    return joined.select(*(clean.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns))
+    return joined.select(*(clean.alias(c) if c == "text" else F.col(f"d.doc.`{c}`") for c in docs.columns))

@@ -101,18 +101,19 @@ def site_posteriors(scored: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least: float = 0.5, broadcast_rows: int = 100_000, sample_rows: int = 20_000) -> DataFrame:
-    """``docs`` with __evidence, __host, __path, __posterior and __keep; all rows and columns stay.
+    """(doc, quality) for every row of ``docs``: its columns, of any name, as the struct ``doc``, and the struct ``quality`` of evidence, host, path, host_posterior, path_posterior, posterior and keep.
 
     A document is kept if its posterior probability is at least ``least``. Null texts count as empty, null hosts and
     paths as sites of their own; without labels of both kinds all documents get the same evidence. Empty tables give
-    no rows. Site sums are aggregated before they are shuffled; the site table is broadcast up to ``broadcast_rows``.
+    no rows; repeated rows are each scored, and each counts for its site. Site sums are aggregated before they are shuffled; the site table is broadcast up to ``broadcast_rows``.
     """
     model = train(docs, labels, sample_rows)
     logit = evidence(model, F.coalesce("text", F.lit("")))
-    scored = docs.withColumns({"__host": F.coalesce(host.cast("string"), F.lit("")), "__path": F.coalesce(path.cast("string"), F.lit("")), "__evidence": logit})
-    sites = cut(site_posteriors(scored.select(F.col("__host").alias("host"), F.col("__path").alias("path"), (1 / (1 + F.exp(-F.col("__evidence")))).alias("p"))))
-    sites = small_side(sites, broadcast_rows).select(F.col("host").alias("__host"), F.col("path").alias("__path"), "host_posterior", "path_posterior", "prior")
-    sites = sites.withColumnsRenamed({"host_posterior": "__host_posterior", "path_posterior": "__path_posterior", "prior": "__prior"})
-    joined = scored.join(sites, ["__host", "__path"])
-    odds = F.col("__evidence") + _logit(F.col("__path_posterior")) - _logit(F.col("__prior"))
-    return joined.withColumn("__posterior", 1 / (1 + F.exp(-odds))).withColumn("__keep", F.col("__posterior") >= least)
+    doc = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    scored = docs.select(doc, F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), logit.alias("evidence"))
+    sites = cut(site_posteriors(scored.select("host", "path", (1 / (1 + F.exp(-F.col("evidence")))).alias("p"))))
+    joined = scored.join(small_side(sites, broadcast_rows), ["host", "path"])
+    odds = F.col("evidence") + _logit(F.col("path_posterior")) - _logit(F.col("prior"))
+    placed = joined.withColumn("posterior", 1 / (1 + F.exp(-odds)))
+    quality = F.struct("evidence", "host", "path", "host_posterior", "path_posterior", "posterior", (F.col("posterior") >= least).alias("keep"))
+    return placed.select("doc", quality.alias("quality"))

@@ -20,8 +20,8 @@ def _read(spark, sf_dir, name):
 
 def op1_quality(spark, sf_dir):
     scored = quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
-    shown = [F.round(f"__{c}", 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior")]
-    return scored.select("doc_id", F.col("__host").alias("host"), F.col("__path").alias("path"), *shown, F.col("__keep").alias("keep"))
+    shown = [F.round(f"quality.{c}", 6).alias(c) for c in ("evidence", "host_posterior", "path_posterior", "posterior")]
+    return scored.select("doc.doc_id", "quality.host", "quality.path", *shown, "quality.keep")
 
 
 def op2_pii(spark, sf_dir):

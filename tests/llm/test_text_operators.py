@@ -209,10 +209,10 @@ def test_quality_keeps_good_and_drops_junk(spark):
     junk = [(1000 + i, " ".join(f"{w.upper()}!!" for w in prose(10).split()) * 6, "h" if i % 2 else None, "q") for i in range(40)] + [(5000, None, None, None)]
     df = spark.createDataFrame(good + junk, "doc_id long, text string, source string, lang string")
     labels = spark.createDataFrame([(r[0], int(r[0] < 1000)) for r in (good + junk)[::2]], "doc_id long, quality int")
-    keep = {r.doc_id: r["__keep"] for r in quality.classify(df, labels, F.col("source"), F.col("lang")).collect()}
+    keep = {r.doc.doc_id: r.quality.keep for r in quality.classify(df, labels, F.col("source"), F.col("lang")).collect()}
     assert len(keep) == len(good) + len(junk)
     assert sum(keep[r[0]] for r in good) >= 148 and sum(keep[r[0]] for r in junk[:-1]) <= 1
-    assert quality.classify(df, labels.limit(0), F.col("source"), F.col("lang")).where("__keep").count() == len(keep)
+    assert quality.classify(df, labels.limit(0), F.col("source"), F.col("lang")).where("quality.keep").count() == len(keep)
 
 
 def test_audio_finds_shifted_and_noisy_recordings(spark):
@@ -337,12 +337,12 @@ def test_sites_shrink_and_decide(spark):
     rows = [(i, t, "good", "p") for i, t in enumerate(good)] + [(120 + i, t, "bad", "q") for i, t in enumerate(junk)]
     rows += [(500, border, "good", "p"), (501, border, "bad", "q"), (502, border, "rare", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    got = {r.doc_id: r for r in quality.classify(df, labels, F.col("source"), F.col("lang")).collect()}
-    assert got[500]["__keep"] and not got[501]["__keep"] and got[500]["__evidence"] == got[501]["__evidence"]
+    got = {r.doc.doc_id: r.quality for r in quality.classify(df, labels, F.col("source"), F.col("lang")).collect()}
+    assert got[500].keep and not got[501].keep and got[500].evidence == got[501].evidence
     # brute force of the posteriors, from the evidence alone
     p = {}
     for r in got.values():
-        p.setdefault((r["__host"], r["__path"]), []).append(1 / (1 + np.exp(-r["__evidence"])))
+        p.setdefault((r.host, r.path), []).append(1 / (1 + np.exp(-r.evidence)))
     cells = {k: (len(v), sum(v)) for k, v in p.items()}
     n, s = sum(c[0] for c in cells.values()), sum(c[1] for c in cells.values())
     mean = s / n
@@ -417,17 +417,17 @@ def test_more_empty_tables(spark):
 
 
 def test_extra_columns_of_any_name_stay(spark):
-    names = ["__id", "__removed", "__h", "h", "d", "tag", "place", "words", "removed", "n", "fp", "__host", "start", "end"]
+    names = ["__id", "__removed", "__h", "h", "d", "tag", "place", "words", "removed", "n", "fp", "__host", "__path", "__evidence", "start", "end", "doc", "quality", "evidence", "host", "part", "h1"]
     text = f"{prose(12)}\n{prose(9)} a@b.com"
     rows = [(i, t, *[i] * len(names)) for i, t in enumerate([text, text, None, "", "call +1 (988) 555-2485"])]
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
     from filingspark.llm import near_texts
 
     for out in (line_dedup.dedup_lines(df), pii.redact(df), near_texts.drop_copies(df)):
-        assert out.columns == df.columns and all(r["tag"] == r["doc_id"] for r in out.collect())
+        assert out.columns == df.columns and all(r[n] == r["doc_id"] for r in out.collect() for n in names)
     labels = spark.createDataFrame([(0, 1), (4, 0)], "doc_id long, quality int")
-    kept = quality.classify(df.drop("__host"), labels, F.lit("s"), F.lit("l"))
-    assert kept.count() == len(rows)
+    kept = quality.classify(df, labels, F.lit("s"), F.lit("l")).select("doc.*")
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect() if all(r[n] == r["doc_id"] for n in names)) == list(range(len(rows)))
     for out in (line_dedup.line_report(df), pii.find_pii(df), oph.edited_likeness(df), simhash.near_duplicates(df)):
         assert out.count() == len(rows)
 
