@@ -23,6 +23,11 @@ def normalize_key(key: Column, width: int = 10, guard: bool = False) -> Column:
     return F.when(F.lower(text).isin("", "nan"), F.lit(None)).otherwise(padded) if guard else padded
 
 
+def number_of(x: Column) -> Column:
+    """A double; NaN is missing as well and becomes NULL."""
+    return F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+
+
 def safe_div(num: Column, den: Column, least: float = 1e-8) -> Column:
     """NULL where the denominator is missing or nearly zero."""
     return F.when(F.abs(den) >= least, num / den)

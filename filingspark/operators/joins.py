@@ -27,6 +27,14 @@ def primary_then_fallback(df: DataFrame, vendor: DataFrame, primary: tuple[str,
     return both.select(*df.columns, F.coalesce("__p", "__f").alias("vendor"), matched.alias("matched"))
 
 
+def match_report(joined: DataFrame, primary: str, fallback: str, listed: Column | None = None) -> DataFrame:
+    """One row on what ``primary_then_fallback`` gave: rows, matches by either key, rows without one, the share that the fallback recovered of what the first key missed (4 decimals), and, of rows that count as ``listed``, those without a match."""
+    m = F.col("matched")
+    missed = F.count_if(m.isNull() | (m == fallback))
+    unmatched_listed = F.count_if(m.isNull() & F.coalesce(listed, F.lit(False))) if listed is not None else F.lit(0).cast("long")
+    return joined.agg(F.count("*").alias("n"), F.count_if(m == primary).alias("n_primary"), F.count_if(m == fallback).alias("n_fallback"), F.count_if(m.isNull()).alias("n_unmatched"), F.round(F.coalesce(F.try_divide(F.count_if(m == fallback), missed), F.lit(0.0)), 4).alias("recovered"), unmatched_listed.alias("n_unmatched_listed"))
+
+
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not df.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError(f"keys repeat: {', '.join(keys)}")

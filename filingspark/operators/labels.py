@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.exprs import normalize_key
+from ..sources.landed import tag_phrases
 from .market import stock_decline
 from .panel import dedup_keep, event_in_window, interval_overlap, validate_labels
 
@@ -93,6 +94,30 @@ def bankruptcy_label(grid: DataFrame, companies: DataFrame | None, external: Dat
     return _unknown(grid, label)
 
 
+# The phrases that tell of an event, the forms that they count in, and how precise they are.
+BANKRUPTCY_RULES = ((1, ["Item 1.03"], ["8-K"], "high"), (2, ["bankruptcy or receivership"], ["8-K"], "high"))
+ENFORCEMENT_RULES = (
+    (1, ["AAER"], None, "high"),
+    (2, ["Wells notice"], ["8-K"], "high"),
+    (3, ["Wells notice"], ["10-K"], "high"),
+    (4, ["formal order of investigation"], ["8-K"], "high"),
+    (5, ["SEC settlement", "enforcement"], ["8-K"], "moderate"),
+    (6, ["settled charges", "Securities and Exchange Commission"], ["8-K"], "moderate"),
+    (7, ["Accounting and Auditing Enforcement Release"], None, "moderate"),
+)
+
+
+def sourced_events(filings: DataFrame, rules: Sequence[tuple], universe: DataFrame, on: str = "event_date") -> DataFrame:
+    """(cik, ``on``), each once, of the companies in ``universe`` (cik): filings (adsh, cik, form, file_date, text) that any of the ``rules`` (rule, phrases, forms, tier) finds.
+
+    A filing counts once, whichever rules find it; filings without a readable date or a company go.
+    """
+    table = filings.sparkSession.createDataFrame(list(rules), "rule int, phrases array<string>, forms array<string>, tier string")
+    hits = tag_phrases(filings, table, "adsh", "text", "form").select("adsh").distinct()
+    dated = filings.join(hits, "adsh", "left_semi").select(normalize_key(F.col("cik"), 10, True).alias("cik"), F.try_to_date(F.col("file_date").cast("string"), "yyyy-MM-dd").alias(on))
+    return dated.where(F.col("cik").isNotNull() & F.col(on).isNotNull()).distinct().join(universe.select("cik").distinct(), "cik", "left_semi")
+
+
 def build_labels(market: DataFrame, primary: int, filings=None, registry=None, companies=None, audit=None, enforcement=None, bankruptcies=None, threshold: float = -0.2, delisting_counts: bool = True, restatement_days: int = 1095, days: int = 365) -> DataFrame:
     """(cik, period_end, the five outcomes, earnings_restate_source) for each row of an aligned market table; a source that is None is missing."""
     decline = stock_decline(F.col(f"mkt_adj_{primary}"), F.coalesce(F.col("delisted").cast("boolean"), F.lit(False)), threshold, delisting_counts)

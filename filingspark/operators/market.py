@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import clip
+from .ordered import HOT, next_row
 from .quantiles import quantiles
 
 
@@ -36,17 +37,17 @@ def trailing_volume(prices: DataFrame, rows: int, key: str = "ticker") -> DataFr
     return prices.withColumn("trailing_volume", F.avg("volume").over(w))
 
 
-def asof_next(events: DataFrame, series: DataFrame, key: str, at: str, carry: Sequence[str]) -> DataFrame:
+def asof_next(events: DataFrame, series: DataFrame, key: str, at: str, carry: Sequence[str], hot: int = HOT) -> DataFrame:
     """``events`` with ref_date and the ``carry`` columns of the first series row of the same key at or after ``at``; NULLs without one.
 
     Both sides are laid into one sequence a key, from the last date to the first, so a key's rows are read once and the
-    frame only grows; no pair is made. ``series`` is (key, dt, carry...), unique by (key, dt).
+    frame only grows; no pair is made. A key with more than ``hot`` rows is cut into ranges of dates that spread over
+    tasks. ``series`` is (key, dt, carry...), unique by (key, dt).
     """
     row = F.struct(F.col("dt").alias("ref_date"), *carry)
     left = events.select(F.col(key).alias("__key"), F.col(at).alias("__at"), F.lit(0).alias("__kind"), F.struct(*events.columns).alias("__event"), F.lit(None).cast(_type_of(series, row)).alias("__row"))
     right = series.select(F.col(key).alias("__key"), F.col("dt").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast(left.schema["__event"].dataType).alias("__event"), row.alias("__row"))
-    w = Window.partitionBy("__key").orderBy(F.desc("__at"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    found = left.union(right).withColumn("__next", F.last("__row", ignorenulls=True).over(w)).where("__kind = 0")
+    found = next_row(left.union(right), "__key", "__at", "__kind", "__row", hot)
     unmatched = F.col("__key").isNull() | F.col("__at").isNull()
     return found.select("__event.*", *(F.when(~unmatched, F.col(f"__next.{c}")).alias(c) for c in ("ref_date", *carry)))
 
@@ -144,6 +145,22 @@ def histogram(df: DataFrame, column: str, bins: int, low: float = 0.01, high: fl
     return df.where(F.col(column).isNotNull()).select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
+def equal_bins(df: DataFrame, column: Column, bins: int) -> DataFrame:
+    """(bin, low, high, n) of the values in equal bins from the lowest to the highest, which belongs to the last; only bins with values. The two extremes come to the driver; one bin where all values are equal, no rows without any."""
+    x = df.select(column.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    b = x.agg(F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    lo, hi = (b.lo, b.hi) if b.lo is not None else (0.0, 0.0)
+    width = (hi - lo) / bins
+    place = F.least(F.lit(bins - 1), F.floor(F.coalesce(F.try_divide(F.col("x") - lo, F.lit(width)), F.lit(0.0)))).cast("int")
+    counted = x.select(place.alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
+    return counted.select("bin", (F.col("bin") * width + lo).alias("low"), ((F.col("bin") + 1) * width + lo).alias("high"), "n")
+
+
+def log_millions(volume: Column) -> Column:
+    """log10 of a volume in millions, with a thousandth added; NULL for a volume that isn't positive."""
+    return F.when(volume > 0, F.log10(volume / 1e6 + 1e-3))
+
+
 def group_median(df: DataFrame, key: str, column: str) -> DataFrame:
     """(key, median) of the groups that have values."""
     return quantiles(df, [key], column, (0.5,)).select(key, F.col("q")[0].alias("median"))

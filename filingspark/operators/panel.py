@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.exprs import col_or_null, safe_div
 from ..functions.sectors import with_sector
+from .ordered import HOT, exists_within, overlaps
 
 
 def dedup_keep(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -30,16 +31,34 @@ def filing_coverage(filings: DataFrame, first_year: int, last_year: int, since:
     return a.where(F.col("n_filings") >= min_filings).select("*", gaps.alias("gap_years"), coverage.alias("coverage"), (coverage < 0.95).alias("has_gap"), F.arrays_overlap("filing_years", F.array(F.lit(last_year - 1), F.lit(last_year))).alias("is_current"))
 
 
-def universe_enrich(coverage: DataFrame, names: DataFrame, companies: DataFrame | None = None) -> DataFrame:
-    """coverage (cik, ...) with each company's latest name and, of ``companies`` (cik, ticker, exchange, sic_code, state), its listing and sector. Without companies these are NULL."""
+#: The exchanges whose listings come before others.
+PRIMARY = ("Nasdaq", "NYSE", "NYSE MKT")
+
+
+def primary_listing(listings: DataFrame, primary: Sequence[str] = PRIMARY, order: Sequence[Column] = ()) -> DataFrame:
+    """One listing a company: the first on a ``primary`` exchange, else the first of all, by ``order`` or the ticker."""
+    other = (~F.coalesce(F.col("exchange").isin(list(primary)), F.lit(False))).cast("int")
+    return dedup_keep(listings, ["cik"], [other, *(order or [F.col("ticker")])])
+
+
+def universe_enrich(coverage: DataFrame, names: DataFrame, companies: DataFrame | None = None, primary: Sequence[str] = PRIMARY) -> DataFrame:
+    """coverage (cik, ...) with each company's latest name and, of ``companies`` (cik, ticker, exchange, sic_code, state), its primary listing and sector. Without companies these are NULL."""
     columns = ("ticker", "exchange", "sic_code", "state", "sector")
     named = coverage.join(names, "cik", "left")
     if companies is None:
         return named.withColumns({c: F.lit(None).cast("string") for c in columns})
-    one = dedup_keep(companies, ["cik"], [F.col("ticker")]).select("cik", *columns[:-1])
+    one = primary_listing(companies, primary).select("cik", *columns[:-1])
     return named.join(with_sector(one), "cik", "left")
 
 
+def universe_provenance(universe: DataFrame, filings: DataFrame, first_year: int, last_year: int, forms: Sequence[str], min_filings: int, since: str, built: str) -> dict[str, str]:
+    """What a universe was built from, as text: the window, forms and limits, and how many companies it has and filings the index."""
+    year = F.year("date_filed")
+    n = filings.where(F.trim("form_type").isin(list(forms)) & year.between(first_year, last_year)).count()
+    told = {"build_date": built, "start_year": first_year, "end_year": last_year, "n_companies": universe.count(), "n_filings_in_index": n, "form_types": ",".join(forms), "min_filings": min_filings, "mandatory_since": since}
+    return {k: str(v) for k, v in told.items()}
+
+
 def universe_summary(universe: DataFrame) -> DataFrame:
     """One row: companies, percents with a ticker, with a coverage of at least 0.8 and current ones, first and last filing."""
     pct = lambda c: F.round(F.avg(c.cast("int")) * 100, 4)
@@ -50,20 +69,14 @@ def latest_value(df: DataFrame, key: str, value: str, order: Sequence[str]) -> D
     return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
-def event_in_window(grid: DataFrame, events: DataFrame, key: str, at: str, days: int, label: str) -> DataFrame:
-    """1 if any event (key, event_date) of the same key lies in [at, at + days], else 0. A semi-join finds the rows; pairs aren't kept."""
-    g, e = grid.alias("g"), events.select(F.col(key), F.col("event_date")).alias("e")
-    inside = (F.col(f"g.{key}") == F.col(f"e.{key}")) & F.col("e.event_date").between(F.col(f"g.{at}"), F.date_add(f"g.{at}", days))
-    hit = g.join(e, inside, "left_semi").select(key, at).distinct().withColumn("__hit", F.lit(1))
-    return grid.join(hit, [key, at], "left").withColumn(label, F.coalesce("__hit", F.lit(0))).drop("__hit")
+def event_in_window(grid: DataFrame, events: DataFrame, key: str, at: str, days: int, label: str, hot: int = HOT) -> DataFrame:
+    """1 if any event (key, event_date) of the same key lies in [at, at + days], else 0; one ordered pass over both sides, no pairs."""
+    return exists_within(grid, events, key, at, "event_date", days, label, hot)
 
 
-def interval_overlap(grid: DataFrame, spans: DataFrame, key: str, at: str, days: int, label: str) -> DataFrame:
-    """1 if any span (key, start_date, end_date) overlaps [at, at + days], else 0."""
-    g, s = grid.alias("g"), spans.select(key, "start_date", "end_date").alias("s")
-    meets = (F.col(f"g.{key}") == F.col(f"s.{key}")) & (F.col("s.start_date") <= F.date_add(f"g.{at}", days)) & (F.col("s.end_date") >= F.col(f"g.{at}"))
-    hit = g.join(s, meets, "left_semi").select(key, at).distinct().withColumn("__hit", F.lit(1))
-    return grid.join(hit, [key, at], "left").withColumn(label, F.coalesce("__hit", F.lit(0))).drop("__hit")
+def interval_overlap(grid: DataFrame, spans: DataFrame, key: str, at: str, days: int, label: str, hot: int = HOT) -> DataFrame:
+    """1 if any span (key, start_date, end_date) overlaps [at, at + days], else 0; one ordered pass over both sides, no pairs."""
+    return overlaps(grid, spans, key, at, days, label, hot)
 
 
 def resolve_features(facts: DataFrame, tags: DataFrame) -> DataFrame:

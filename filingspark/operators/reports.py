@@ -74,3 +74,20 @@ def gate_conditional(metrics: DataFrame, a: str, b: str, margin: float, min_wins
 def config_fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """df with fingerprint: the first 16 hex digits of the SHA-256 of the columns as JSON, in the order of their names."""
     return df.withColumn("fingerprint", F.substring(F.sha2(F.to_json(F.struct(*sorted(columns))), 256), 1, 16))
+
+
+def data_spec(universe: DataFrame, splits: DataFrame, cutoffs: tuple[str, str, str], features: dict[str, Sequence[str]], outcomes: Sequence[str], rolling: dict[str, object] | None = None) -> DataFrame:
+    """(section, name, value), all text, of a dataset: companies and their sectors, the groups of features and all numeric ones, outcomes, cutoffs and rolling settings, and each split's rows, companies and dates.
+
+    universe (cik, sector), splits (split, cik, period_end). One aggregation of each; no row comes to the driver.
+    """
+    spark = universe.sparkSession
+    fixed = [("features", k, str(len(v))) for k, v in features.items()] + [("features", "total_numeric", str(sum(map(len, features.values()))))]
+    fixed += [("labels", "outcome", o) for o in outcomes]
+    fixed += list(zip(["splits"] * 3, ("train_end", "val_end", "test_end"), cutoffs)) + [("rolling", k, str(v)) for k, v in (rolling or {}).items()]
+    text = lambda c: F.col(c).cast("string")
+    companies = universe.agg(F.count_distinct("cik").alias("n")).select(F.lit("universe").alias("section"), F.lit("n_companies").alias("name"), text("n").alias("value"))
+    sectors = universe.where("sector is not null").groupBy("sector").agg(F.count("*").alias("n")).select(F.lit("sectors"), "sector", text("n"))
+    stats = splits.groupBy("split").agg(F.count("*").alias("n_rows"), F.count_distinct("cik").alias("n_companies"), F.min("period_end").alias("first"), F.max("period_end").alias("last"))
+    stats = stats.unpivot(["split"], [text(c).alias(c) for c in ("n_rows", "n_companies", "first", "last")], "name", "value").select("split", "name", "value")
+    return spark.createDataFrame(fixed, "section string, name string, value string").union(companies).union(sectors).union(stats)

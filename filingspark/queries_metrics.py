@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from .functions.sectors import SECTORS
 from .operators import bootstrap as S
@@ -86,11 +86,14 @@ def class_balance(spark, sf):
 
 
 def bootstrap_auroc(spark, sf):
-    return r6(S.bootstrap_auroc(_pred(spark, sf), KEYS, "row_id", 20), "estimate", "low", "high")
+    return r6(S.bootstrap_auroc(_pred(spark, sf), KEYS, 50), "estimate", "low", "high")
 
 
 def bootstrap_delta(spark, sf):
-    return r6(S.bootstrap_delta(_pred(spark, sf), "outcome", "row_id", "a", "b", 20), "estimate", "low", "high")
+    """The given rows' numbers repeat, so they are counted through."""
+    again = F.row_number().over(Window.partitionBy("model", "outcome", "row_id").orderBy("sector_idx", "y"))
+    p = _pred(spark, sf).withColumn("again", again)
+    return r6(S.bootstrap_delta(p, "outcome", ["row_id", "again"], "a", "b", 50), "estimate", "low", "high")
 
 
 def _by_sector(spark, sf):
@@ -136,9 +139,16 @@ _BY = lambda keys, cond="": f"cells as (select {keys}, score, sum(w * y) as pos,
 _SRC = "src as (select *, 1 as w from {pred})"
 _SEC = f"{_SRC}, {_BY('model, sector_idx')}"
 _BYSEC = f"{_SRC}, {_BY('outcome, model, sector_idx')}"
-_U = "('0x' || substr(md5(row_id || '|' || replicate || '|42'), 1, 8))::ubigint / 4294967296.0"
-_POISSON = " + ".join(f"cast({_U} >= {c!r} as int)" for c in S.poisson_cuts())
-_BOOT = f"src as (select *, {_POISSON} as w from {{pred}}, (select unnest(range(1, 21)) as replicate) r), {_BY('outcome, model, replicate', 'where w > 0')}, own as (with src as (select *, 1 as w from {{pred}}), {_BY('outcome, model')} select * from a)"
+_U = lambda text: f"('0x' || substr(md5({text} || '|' || replicate || '|42'), 1, 8))::ubigint / 4294967296.0"
+_9 = lambda c: f"cast(cast(round({c} * 1e9) as bigint) as varchar)"
+# The inverse of the Poisson distribution: how many counts the uniform number has passed.
+_CDF = "ks as (select distinct k from cells0), js as (select k, unnest(range(0, cast(ceil(k + 12 * sqrt(k) + 20) as bigint) + 1)) as j from ks), cdf as (select k, list(c order by j) as cdf from (select k, j, sum(exp(j * ln(k) - k - lgamma(j + 1))) over (partition by k order by j) as c from js) t group by k)"
+_DRAWN = lambda n, text: f"drawn as (select c.*, replicate, len(list_filter(cdf, lambda v: v <= u)) as w from (select *, {_U(text)} as u from cells0, (select unnest(range(1, {n + 1})) as replicate) r) c join cdf on c.k = cdf.k)"
+_OWN = f"own as (with src as (select *, 1 as w from {{pred}}), {_BY('outcome, model')} select * from a)"
+_ONE = "model || '|' || outcome || '|' || " + _9("score") + " || '|' || y"
+_BOOT = f"cells0 as (select model, outcome, score, y, cast(count(*) as double) as k from {{pred}} group by all), {_CDF}, {_DRAWN(50, _ONE)}, src as (select * from drawn), {_BY('outcome, model, replicate', 'where w > 0')}, {_OWN}"
+_TWO = "outcome || '|' || " + _9("sa") + " || '|' || " + _9("sb") + " || '|' || y"
+_PAIRS = f"nr as (select *, row_number() over (partition by model, outcome, row_id order by sector_idx, y) as again from {{pred}}), cells0 as (select x.outcome, x.score as sa, z.score as sb, x.y, cast(count(*) as double) as k from nr x join nr z on x.outcome = z.outcome and x.row_id = z.row_id and x.again = z.again where x.model = 'a' and z.model = 'b' group by all), {_CDF}, {_DRAWN(50, _TWO)}, src as (select outcome, replicate, 'a' as model, sa as score, y, w from drawn union all select outcome, replicate, 'b', sb, y, w from drawn), {_BY('outcome, model, replicate', 'where w > 0')}, {_OWN}"
 _SPLIT = "case when sector_idx < 8 then 'train' when sector_idx < 10 then 'val' else 'test' end"
 QUERIES = {
     "auroc": (_ranking("auroc"), f"with {_CELLS}, {_AUROC} select model, outcome, round(auroc, 6) as auroc from auroc"),
@@ -150,7 +160,7 @@ QUERIES = {
     "all_metrics": (all_metrics, f"with {_CELLS}, {_AUROC}, {_YOUDEN}, {_ECE}, b as (select model, outcome, avg((score - y) * (score - y)) as brier from {{pred}} group by 1, 2) select model, outcome, cast(n_rows as bigint) as n_rows, cast(n_pos as bigint) as n_pos, round(auroc, 6) as auroc, round(auprc, 6) as auprc, round(threshold, 6) as threshold, round(f1, 6) as f1, round(brier, 6) as brier, round(ece, 6) as ece from auroc join youden using (model, outcome) join ece using (model, outcome) join b using (model, outcome)"),
     "sector_metrics": (sector_metrics, f"with {_SEC} select m.model, s.idx as sector_idx, cast(coalesce(n_rows, 0) as bigint) as n_rows, cast(coalesce(n_pos, 0) as bigint) as n_pos, round(case when n_rows >= 30 then auroc end, 6) as auroc, round(case when n_rows >= 30 then auprc end, 6) as auprc from {{sector_list}} s, (select distinct model from {{pred}}) m left join a on s.idx = a.sector_idx and m.model = a.model"),
     "bootstrap_auroc": (bootstrap_auroc, f"with {_BOOT} select own.model, own.outcome, round(own.auroc, 6) as estimate, round(quantile_cont(a.auroc, 0.025), 6) as low, round(quantile_cont(a.auroc, 0.975), 6) as high from own join a on own.outcome = a.outcome and own.model = a.model group by all"),
-    "bootstrap_delta": (bootstrap_delta, f"with {_BOOT}, d as (select x.outcome, x.auroc - y.auroc as d from a x join a y on x.outcome = y.outcome and x.replicate = y.replicate and x.model = 'a' and y.model = 'b'), q as (select outcome, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from d group by 1) select x.outcome, round(x.auroc - y.auroc, 6) as estimate, round(low, 6) as low, round(high, 6) as high, cast(low > 0 or high < 0 as int) as significant from own x join own y on x.outcome = y.outcome and x.model = 'a' and y.model = 'b' join q on q.outcome = x.outcome"),
+    "bootstrap_delta": (bootstrap_delta, f"with {_PAIRS}, d as (select x.outcome, x.auroc - y.auroc as d from a x join a y on x.outcome = y.outcome and x.replicate = y.replicate and x.model = 'a' and y.model = 'b'), q as (select outcome, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from d group by 1) select x.outcome, round(x.auroc - y.auroc, 6) as estimate, round(low, 6) as low, round(high, 6) as high, cast(low > 0 or high < 0 as int) as significant from own x join own y on x.outcome = y.outcome and x.model = 'a' and y.model = 'b' join q on q.outcome = x.outcome"),
     "best_variant": (best_variant, f"with {_BYSEC}, v as (select outcome, model || '_' || sector_idx as variant, sector_idx + case when model = 'b' then 100 else 0 end as place, auroc as value from a where auroc is not null), b as (select outcome, value as baseline from v where variant = 'a_0'), t as (select outcome, variant, value, row_number() over (partition by outcome order by value desc, place) as k from v where variant <> 'a_0'), r as (select b.outcome, baseline, case when value > baseline then value else baseline end as best, case when value > baseline then variant else 'none' end as best_variant from b left join t on b.outcome = t.outcome and k = 1), n as (select count(*) filter (best - baseline >= 0.005) as n_improved from r) select outcome, round(baseline, 6) as baseline, round(best, 6) as best, best_variant, round(best - baseline, 6) as delta, n_improved, case when n_improved >= 3 then 'proceed' when n_improved >= 1 then 'marginal' else 'no_gain' end as recommendation from r, n"),
     "sweep_topk": (sweep_topk, f"with {_BYSEC} select model, sector_idx, round(coalesce(avg(auroc), 0), 6) as mean from a group by 1, 2 order by coalesce(avg(auroc), 0) desc, 1, 2 limit 10"),
     "sweep_pivot": (sweep_pivot, f"with {_BYSEC}, m as (select model, sector_idx, coalesce(avg(auroc), 0) as mean from a group by 1, 2) select sector_idx, round(max(case when model = 'a' then mean end), 6) as a, round(max(case when model = 'b' then mean end), 6) as b from m group by 1"),

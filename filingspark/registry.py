@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import queries_features, queries_joins, queries_labels, queries_market, queries_metrics, queries_models, queries_panel
+from . import queries_features, queries_joins, queries_labels, queries_market, queries_metrics, queries_models, queries_panel, queries_sourcing
 from .views import portable
 
-_MODULES = (queries_market, queries_panel, queries_metrics, queries_joins, queries_labels, queries_features, queries_models)
+_MODULES = (queries_market, queries_panel, queries_metrics, queries_joins, queries_labels, queries_features, queries_models, queries_sourcing)
 
 
 def queries() -> dict[str, Callable]:
