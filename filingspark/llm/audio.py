@@ -75,7 +75,7 @@ def fingerprint(pcm: bytes | None):
 
 
 def fingerprints(recordings: DataFrame, id_column: str, media_column: str, decode: Callable[[object], bytes | None] = bytes) -> DataFrame:
-    """(id, fingerprint array<int>) for every row, without a shuffle. Null and short recordings have an empty one.
+    """(id, fingerprint array<int>) for every row, without a shuffle. Null and short recordings have an empty one; repeated rows and null ids give a row each, an empty table none.
 
     ``decode`` makes 16-bit little-endian samples of a media value; one recording at a time is held decoded.
     """

@@ -103,7 +103,7 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What formatted conversations say, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What formatted conversations say, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars. A row for each row, null conv_ids too; no rows of an empty table. Very long ones are read whole."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib

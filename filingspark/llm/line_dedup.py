@@ -78,7 +78,7 @@ def _leads(hashes: str) -> Column:
 
 
 def signatures(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """(doc_id, place, n, h1, h2, prefix, leads, plain, b0, b1) of each line with a word; h1 and h2 tell the sets apart.
+    """(doc_id, place, n, h1, h2, prefix, leads, plain, b0, b1) of each line with a word; h1 and h2 tell the sets apart. Null and empty texts, lines without words and rows without a doc_id give none; an empty table gives no rows.
 
     ``leads`` are hashes of three pairs of words, which near copies mostly share: those of the smallest hashes, those of
     the largest, and one of either. ``plain`` is the level in the middle of the prefix: changed words

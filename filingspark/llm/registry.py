@@ -61,12 +61,32 @@ def op8_harmonic_packing(spark, sf_dir):
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+#: What each recording is made in: as it is, begun three frames later, and with noise.
+VARIANTS, _LATER, _NOISE = 3, 3, 300
+
+
+def recording(media: dict) -> bytes:
+    """16-bit samples of a row (vec_id, embedding, variant). The noise is drawn by the number."""
+    import numpy as np
+
+    x = np.frombuffer(audio.sonify(media["embedding"]), "<i2")
+    if media["variant"] == 1:
+        x = x[_LATER * audio.HOP :]
+    elif media["variant"] == 2:
+        noise = np.random.default_rng(abs(media["vec_id"] or 0)).normal(0, _NOISE, len(x))
+        x = np.clip(x + noise, -32768, 32767).astype("<i2")
+    return x.tobytes()
+
+
 def op9_chroma_audio(spark, sf_dir):
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), "embedding")
-    prints = audio.fingerprints(vectors, "id", "embedding", audio.sonify)
-    found = audio.align(prints, F.col("id") % 50 == 0)
+    """Recordings of all embeddings, each as it is, shifted and noisy; every 50th as it is is a query."""
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.explode(F.array(*map(F.lit, range(VARIANTS)))).alias("variant"))
+    made = vectors.select((F.col("vec_id") * VARIANTS + F.col("variant")).alias("id"), F.struct("vec_id", "embedding", "variant").alias("media"))
+    prints = audio.fingerprints(made, "id", "media", recording)
+    found = audio.align(prints, F.col("id") % (50 * VARIANTS) == 0)
     digest = F.sha2(F.array_join(F.col("fingerprint").cast("array<string>"), ","), 256).alias("fingerprint_sha256")
-    return found.select(F.col("id").alias("vec_id"), "n_codes", digest, "class_id", "query_id", "offset", "votes", "bit_error", "place")
+    of = lambda c: F.floor(F.col(c) / VARIANTS).cast("long")
+    return found.select(of("id").alias("vec_id"), F.pmod(F.col("id"), F.lit(VARIANTS)).cast("int").alias("variant"), "n_codes", digest, "class_id", of("query_id").alias("query_id"), "offset", "votes", "bit_error", "place")
 
 
 def op10_fingerprints(spark, sf_dir):

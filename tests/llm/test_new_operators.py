@@ -223,3 +223,90 @@ def test_many_texts_of_one_doc_id(spark):
     texts = [" ".join(f"t{i}w{j}" for j in range(8)) for i in range(1500)]
     df = spark.createDataFrame([(1, t) for t in texts] + [(0, texts[7])], schema)
     assert sorted(r.text for r in line_dedup.dedup_lines(df).collect()) == sorted(["", texts[7], *(t for i, t in enumerate(texts) if i != 7)])
+
+
+# ---- the query of audio fingerprints, and loose personal data
+
+
+def test_audio_query_aligns_shifted_and_noisy_recordings(spark):
+    from filingspark.llm import audio, registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = registry.op9_chroma_audio(spark, sf).collect()
+    table = {r.vec_id: list(r.embedding or []) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    codes = {(v, k): audio.fingerprint(registry.recording({"vec_id": v, "embedding": e, "variant": k})).tolist() for v, e in table.items() for k in range(registry.VARIANTS)}
+    assert {(r.vec_id, r.variant) for r in rows} == set(codes)
+    # brute force: a copy is found if its query stands in one of its rows, a shifted one at the right offset
+    asked = [v for v in table if v % 50 == 0 and len(codes[v, 0]) > 10]
+    first = {tuple(codes[v, 0]): v for v in sorted(asked, reverse=True)}
+    found = {(r.vec_id, r.variant, r.query_id): r for r in rows if r.query_id is not None}
+    hits = [found.get((v, k, first[tuple(codes[v, 0])])) for v in asked for k in (1, 2)]
+    assert asked and sum(h is not None for h in hits) >= 0.9 * len(hits)
+    moved = [h for h in hits if h is not None and h.variant == 1]
+    assert sum(h.offset == -3 and h.bit_error == 0 for h in moved) >= 0.9 * len(moved)
+    assert all(h.bit_error < 0.2 for h in hits if h is not None and h.variant == 2)
+
+
+def test_planted_loose_spans_are_found_and_look_alikes_are_not(spark):
+    from filingspark.llm import pii
+
+    r = random.Random(9)
+    words = "the river runs past old towns and small farms toward a wide sea of grass".split()
+    prose = lambda: " ".join(r.choice(words) for _ in range(r.randint(4, 12)))
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    strict = [lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"+1 {number(3)}-{number(3)}-{number(4)}", lambda: f"a{number(3)}@corp{number(2)}.com"]
+    loose = [lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}"]
+    decoys = [lambda: f"20{number(2)}-0{r.randint(1, 9)}-1{number(1)}", lambda: f"v{number(1)}.{number(2)}.{number(1)}", lambda: f"order {number(6)}", lambda: f"{number(2)}:{number(2)}", lambda: f"{number(3)} of {number(4)}"]
+    rows, planted, clean = [], {}, {}
+    for i in range(900):
+        kind = ("strict", "loose", "decoy")[i % 3]
+        span = r.choice({"strict": strict, "loose": loose, "decoy": decoys}[kind])()
+        head = prose() + " call "
+        rows.append((i, f"{head}{span} {prose()}"))
+        (planted if kind == "loose" else clean if kind == "decoy" else {})[i] = (len(head), len(head) + len(span))
+    got = {x.doc_id: x.spans for x in pii.find_pii(spark.createDataFrame(rows, schema)).collect()}
+    assert sum(f"phone:{a}:{z}" in got[i] for i, (a, z) in planted.items()) >= 0.9 * len(planted)
+    assert sum(got[i] == "" for i in clean) >= 0.98 * len(clean)
+
+
+# ---- very long texts and clashing columns of the operators that pass texts through workers
+
+
+def test_very_long_texts_pass_every_worker(spark):
+    from filingspark.llm import chat, chunk_bpe, quality, simhash, token_counts
+    from filingspark.llm.registry import vocabulary
+    from tokenizers import Tokenizer
+
+    long_ = " ".join(f"word{i % 977} and" for i in range(60_000))
+    df = spark.createDataFrame([(1, long_), (2, long_ + " end"), (3, "short")], schema)
+    word = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    coded = {r.doc_id: r for r in chunk_bpe.encode_decode(df, vocabulary("word_bpe_49k.json")).collect()}
+    ids = word.encode(long_, add_special_tokens=False).ids
+    assert coded[1].n_tokens == len(ids) and np.frombuffer(coded[1].ids, "<u4").tolist() == ids
+    byte = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_prefix_counts(df, vocabulary("byte_bpe_50k.json")).collect()}[2] == len(byte.encode(long_ + " end", add_special_tokens=False).ids)
+    fp = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert fp[2] == 1 and fp[3] == 3
+    assert [r.doc_id for r in near_texts.drop_copies(df).orderBy("doc_id").collect()] == [1, 3]
+    turns = spark.createDataFrame([(1, 0, "user", long_), (1, 1, "assistant", long_)], "conv_id long, turn long, role string, text string")
+    told = chat.digests(chat.format_conversations(turns)).first()
+    assert (told.n_turns, told.loss_chars, told.loss_sha256) == (2, len(long_), hashlib.sha256(long_.encode()).hexdigest())
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.classify(df, labels, F.lit("s"), F.lit("l")).count() == 3
+
+
+def test_clashing_columns_change_nothing(spark):
+    from filingspark.llm import audio, chat, chunk_bpe, packing, token_counts
+    from filingspark.llm.registry import vocabulary
+
+    texts = spark.createDataFrame([(i, f"some words and number {i}") for i in range(20)], schema)
+    odd = texts.select("*", *(F.lit("x").alias(c) for c in ("ids", "n_tokens", "decoded", "prefix_counts", "n_bytes", "length", "offset", "sequence_id", "start", "bin")))
+    rows = lambda df: sorted(map(str, df.collect()))
+    for f, path in ((chunk_bpe.encode_decode, "word_bpe_49k.json"), (token_counts.token_prefix_counts, "byte_bpe_50k.json")):
+        assert rows(f(odd, vocabulary(path))) == rows(f(texts, vocabulary(path)))
+    packed = lambda df: sorted((r.doc_id, r.start, r.length, r.doc_tokens) for r in packing.pack(df.coalesce(1), vocabulary("word_bpe_49k.json")).collect())
+    assert packed(odd) == packed(texts)
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id long, turn long, role string, text string")
+    assert rows(chat.format_conversations(turns.select("*", F.lit(1).alias("formatted"), F.lit(2).alias("n_rows"), F.lit(3).alias("loss_spans")))) == rows(chat.format_conversations(turns))
+    pcm = spark.createDataFrame([(1, audio.sonify([float(i % 7) - 3 for i in range(64)]))], "id long, pcm binary")
+    assert rows(audio.fingerprints(pcm.select("*", F.lit(1).alias("fingerprint"), F.lit(2).alias("media")), "id", "pcm")) == rows(audio.fingerprints(pcm, "id", "pcm"))
