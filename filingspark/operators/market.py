@@ -100,9 +100,13 @@ def wide_close(prices: DataFrame, tickers: Sequence[str]) -> DataFrame:
     return prices.where(F.col("ticker").isin(list(tickers))).groupBy("dt").pivot("ticker", list(tickers)).agg(F.first("close"))
 
 
-def closes_by_date(prices: DataFrame) -> DataFrame:
-    """(dt, closes): the closes of all tickers of a date as a map, for any number of tickers; a ticker has one price a date."""
-    return prices.groupBy("dt").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ticker", "close")))).alias("closes"))
+def closes_by_date(prices: DataFrame, parts: int = 1) -> DataFrame:
+    """(dt, part, closes): the closes of a date's tickers as maps, for any number of tickers; a ticker has one price a date.
+
+    Each ticker belongs to one of ``parts``, by its hash, so that no map and no task holds a whole large market.
+    """
+    part = F.pmod(F.xxhash64("ticker"), F.lit(parts)).cast("int").alias("part")
+    return prices.groupBy("dt", part).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ticker", "close")))).alias("closes"))
 
 
 def excess_returns(a: DataFrame, b: DataFrame) -> DataFrame:

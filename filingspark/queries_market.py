@@ -79,7 +79,7 @@ def close_wide(spark, sf):
 
 
 def close_wide_all(spark, sf):
-    return M.closes_by_date(view(spark, sf, "price")).select("dt", F.explode("closes").alias("ticker", "close"))
+    return M.closes_by_date(view(spark, sf, "price"), 64).select("dt", F.explode("closes").alias("ticker", "close"))
 
 
 def excess_returns(spark, sf):

@@ -10,6 +10,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark():
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    # One JVM runs all tests: room for their broadcasts, and no record of thousands of finished queries.
+    kept = {"spark.sql.ui.retainedExecutions": 5, "spark.ui.retainedJobs": 20, "spark.ui.retainedStages": 20, "spark.ui.retainedTasks": 500, "spark.driver.memory": "3g"}
+    s = SparkSession.builder.config(map=kept).master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
