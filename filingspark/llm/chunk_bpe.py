@@ -8,7 +8,6 @@ together with the words on both sides gives the ids that stand there; otherwise
 
 from __future__ import annotations
 
-import gc
 import re
 from collections.abc import Iterator
 
@@ -16,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from ._util import documents_of
 from .prefix_bpe import SPACE, Recent
-from .words import WordTable, portions
+from .words import WordTable, portions, without_cycles
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 _BODY = re.compile(f"[{SPACE}].*[{SPACE}]|[{SPACE}]", re.S)
@@ -44,7 +43,7 @@ def cuts(buf, starts):
 
 class ChunkEncoder:
     def __init__(self, path: str, chunks: int = 20_000, seams: int = 40_000):
-        gc.disable()  # as in words.table
+        without_cycles()
         self.words = WordTable(path, 160_000)
         self.chunks, self.seams = Recent(chunks), Recent(seams)
 

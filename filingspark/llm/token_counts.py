@@ -8,7 +8,6 @@ exact count at every prefix, and truncation or budget questions need no further
 
 from __future__ import annotations
 
-import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._util import documents_of
 from .prefix_bpe import SPACE, PrefixBPE, Recent, load
 from .ragged import gather
-from .words import portions
+from .words import portions, without_cycles
 
 #: How the vocabulary cuts a text into pieces (fixed value); its white space is Unicode's.
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -123,7 +122,7 @@ _COUNTERS: dict[str, PrefixCounter] = {}
 
 def counter(path: str) -> PrefixCounter:
     if path not in _COUNTERS:
-        gc.disable()  # as in words.table
+        without_cycles()
         _COUNTERS[path] = PrefixCounter(path)
     return _COUNTERS[path]
 

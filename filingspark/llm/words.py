@@ -82,13 +82,21 @@ class WordTable:
         return b"".join(self.learn(words_of(text)))
 
 
+def without_cycles() -> None:
+    """No more search for reference cycles in this Python worker: its tables hold none, and looking for some in them takes longer than filling them. Never in the driver's process, where finished DataFrames, and the broadcasts that they keep, would stay for ever."""
+    from pyspark import TaskContext
+
+    if TaskContext.get() is not None:
+        gc.disable()
+
+
 _TABLES: dict[str, WordTable] = {}
 
 
 def table(path: str, size: int) -> WordTable:
     """The worker's table for a vocabulary; it outlives the task where Spark reuses its Python workers."""
     if path not in _TABLES:
-        gc.disable()  # the tables hold no cycles, and looking for some in them takes longer than filling them
+        without_cycles()
         _TABLES[path] = WordTable(path, size)
     return _TABLES[path]
 

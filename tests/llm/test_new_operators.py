@@ -248,18 +248,19 @@ def test_audio_query_aligns_shifted_and_noisy_recordings(spark):
 
 
 def test_planted_loose_spans_are_found_and_look_alikes_are_not(spark):
+    """A form that mostly stands in base spans is found without their prefix as well."""
     from filingspark.llm import pii
 
     r = random.Random(9)
     words = "the river runs past old towns and small farms toward a wide sea of grass".split()
     prose = lambda: " ".join(r.choice(words) for _ in range(r.randint(4, 12)))
     number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    strict = [lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"+1 {number(3)}-{number(3)}-{number(4)}", lambda: f"a{number(3)}@corp{number(2)}.com"]
+    strict = [lambda: f"+1 ({number(3)}) {number(3)}-{number(4)}", lambda: f"+1 {number(3)}-{number(3)}-{number(4)}"]
     loose = [lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"{number(3)}-{number(3)}-{number(4)}"]
     decoys = [lambda: f"20{number(2)}-0{r.randint(1, 9)}-1{number(1)}", lambda: f"v{number(1)}.{number(2)}.{number(1)}", lambda: f"order {number(6)}", lambda: f"{number(2)}:{number(2)}", lambda: f"{number(3)} of {number(4)}"]
     rows, planted, clean = [], {}, {}
-    for i in range(900):
-        kind = ("strict", "loose", "decoy")[i % 3]
+    for i in range(1200):
+        kind = "loose" if i % 25 == 0 else "decoy" if i % 3 == 0 else "strict"
         span = r.choice({"strict": strict, "loose": loose, "decoy": decoys}[kind])()
         head = prose() + " call "
         rows.append((i, f"{head}{span} {prose()}"))
