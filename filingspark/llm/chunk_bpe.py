@@ -43,7 +43,6 @@ def cuts(buf, starts):
 
 class ChunkEncoder:
     def __init__(self, path: str, chunks: int = 20_000, seams: int = 40_000):
-        without_cycles()
         self.words = WordTable(path, 160_000)
         self.chunks, self.seams = Recent(chunks), Recent(seams)
 
@@ -133,4 +132,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 columns = [batch.column(0).slice(start, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids", "decoded"])
 
-    return documents_of(docs).mapInArrow(run, SCHEMA)
+    return documents_of(docs).mapInArrow(without_cycles(run), SCHEMA)

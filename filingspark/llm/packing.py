@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 from ._util import documents_of
-from .words import portions, table
+from .words import portions, table, without_cycles
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -125,4 +125,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         if rows:
             yield batch_of(rows)
 
-    return documents_of(docs).mapInArrow(run, SCHEMA)
+    return documents_of(docs).mapInArrow(without_cycles(run), SCHEMA)

@@ -122,7 +122,6 @@ _COUNTERS: dict[str, PrefixCounter] = {}
 
 def counter(path: str) -> PrefixCounter:
     if path not in _COUNTERS:
-        without_cycles()
         _COUNTERS[path] = PrefixCounter(path)
     return _COUNTERS[path]
 
@@ -148,7 +147,7 @@ def token_prefix_counts(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     packed.append(zlib.compress(steps.tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefix_counts"])
 
-    return documents_of(docs).mapInArrow(run, SCHEMA)
+    return documents_of(docs).mapInArrow(without_cycles(run), SCHEMA)
 
 
 def unpack_counts(packed: bytes):

@@ -82,12 +82,22 @@ class WordTable:
         return b"".join(self.learn(words_of(text)))
 
 
-def without_cycles() -> None:
-    """No more search for reference cycles in this Python worker: its tables hold none, and looking for some in them takes longer than filling them. Never in the driver's process, where finished DataFrames, and the broadcasts that they keep, would stay for ever."""
-    from pyspark import TaskContext
+def without_cycles(run):
+    """``run``, during which a Python worker doesn't search for reference cycles: its tables hold none, and looking for some in them takes longer than filling them. Before and after other tasks of the worker do, and the driver's process always does."""
 
-    if TaskContext.get() is not None:
-        gc.disable()
+    def quiet(batches):
+        from pyspark import TaskContext
+
+        inside = TaskContext.get() is not None
+        if inside:
+            gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if inside:
+                gc.enable()
+
+    return quiet
 
 
 _TABLES: dict[str, WordTable] = {}
@@ -96,7 +106,6 @@ _TABLES: dict[str, WordTable] = {}
 def table(path: str, size: int) -> WordTable:
     """The worker's table for a vocabulary; it outlives the task where Spark reuses its Python workers."""
     if path not in _TABLES:
-        without_cycles()
         _TABLES[path] = WordTable(path, size)
     return _TABLES[path]
 
