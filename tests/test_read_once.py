@@ -30,3 +30,7 @@ def caught(monkeypatch, module, name, run):
 def test_models_read_a_written_panel_and_metrics_written_scores(spark, monkeypatch):
     assert from_copy(QM._matrix(spark, DIR))
     assert from_copy(caught(monkeypatch, QM.M, "benchmark", lambda: QM._bench(spark, DIR)))
+
+
+def test_walk_forward_reads_a_written_panel(spark, monkeypatch):
+    assert from_copy(caught(monkeypatch, QM.M, "walk_forward", lambda: QM.walk_forward(spark, DIR)))
