@@ -2,7 +2,7 @@
 
 import pytest
 
-from filingspark import queries_models as QM
+from filingspark import queries_features as N, queries_models as QM
 
 DIR = "/root/testdata/sf0.001"
 
@@ -34,3 +34,7 @@ def test_models_read_a_written_panel_and_metrics_written_scores(spark, monkeypat
 
 def test_walk_forward_reads_a_written_panel(spark, monkeypatch):
     assert from_copy(caught(monkeypatch, QM.M, "walk_forward", lambda: QM.walk_forward(spark, DIR)))
+
+
+def test_feature_matrix_reads_written_features(spark):
+    assert from_copy(N.feature_matrix(spark, DIR))
