@@ -17,7 +17,7 @@ from .operators import reports as R
 from .operators.panel import RATIO_NAMES
 from .plans import splits as S
 from .sources import external, landed
-from .sources.places import new_place
+from .sources.places import cut, new_place
 from .views import FEATURES, view
 
 CUTS = ("1997-12-31", "1998-12-31", "2000-12-31")
@@ -109,8 +109,8 @@ def coverage_histogram(spark, sf):
 
 def train_fraction_exact(spark, sf):
     """How many rows each fraction takes, exactly, and which is the first and last company in it."""
-    p = view(spark, sf, "panel").select("cik", "fiscal_year")
-    u = portable_uniform(F.col("cik"), F.col("fiscal_year").cast("string"), F.lit("3"))
+    hashed = portable_uniform(F.col("cik"), F.col("fiscal_year").cast("string"), F.lit("3"))
+    p, u = cut(view(spark, sf, "panel").select("cik", "fiscal_year", hashed.alias("u"))), F.col("u")  # read once for each step of the search
     members, _ = D.fraction_members(p, ["cik", "fiscal_year"], u, _FRACTIONS)
     each = F.array_compact(F.array(*(F.when(m, F.lit(f)) for f, m in zip(_FRACTIONS, members))))
     return p.select("*", F.explode(each).alias("fraction")).groupBy("fraction").agg(F.count("*").alias("n"), F.sum(F.col("cik").cast("long") * F.col("fiscal_year")).alias("total"))

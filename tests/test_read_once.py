@@ -2,7 +2,7 @@
 
 import pytest
 
-from filingspark import queries_features as N, queries_models as QM
+from filingspark import queries_features as N, queries_models as QM, queries_sourcing as S
 
 DIR = "/root/testdata/sf0.001"
 
@@ -38,3 +38,7 @@ def test_walk_forward_reads_a_written_panel(spark, monkeypatch):
 
 def test_feature_matrix_reads_written_features(spark):
     assert from_copy(N.feature_matrix(spark, DIR))
+
+
+def test_exact_fractions_read_written_keys(spark, monkeypatch):
+    assert from_copy(caught(monkeypatch, S.D, "fraction_members", lambda: S.train_fraction_exact(spark, DIR)))
