@@ -2,7 +2,7 @@
 
 import pytest
 
-from filingspark import queries_features as N, queries_models as QM, queries_sourcing as S
+from filingspark import queries_features as N, queries_models as QM, queries_panel as Q, queries_sourcing as S
 
 DIR = "/root/testdata/sf0.001"
 
@@ -42,3 +42,9 @@ def test_feature_matrix_reads_written_features(spark):
 
 def test_exact_fractions_read_written_keys(spark, monkeypatch):
     assert from_copy(caught(monkeypatch, S.D, "fraction_members", lambda: S.train_fraction_exact(spark, DIR)))
+
+
+def test_facts_are_dealt_out_by_company_once(spark):
+    docs = Q._documents(Q.view(spark, DIR, "fact"))
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("SortMergeJoin")[0].split("BroadcastHashJoin")[0].count("Exchange hashpartitioning") == 1
