@@ -76,7 +76,7 @@ _KNOTS = "sv as (select " + ", ".join(f"list_sort(list(greatest(lo_{c}, least(hi
 _CLIPPED = "cl as (select p.cik, p.fiscal_year, " + ", ".join(f"greatest(lo_{c}, least(hi_{c}, coalesce(p.{c}, md.{c}))) as {c}" for c in _COLS) + " from {panel} p, md, bo)"
 _FOUND = "fo as (select cl.*, m, " + ", ".join(f"greatest(len(list_filter(kn.{c}, lambda v: v <= cl.{c})), 1) - 1 as l_{c}, len(list_filter(kn.{c}, lambda v: v < cl.{c})) as s_{c}, kn.{c}[1] as k0_{c}, kn.{c}[m] as k9_{c}, kn.{c} as k_{c}" for c in _COLS) + " from cl, kn)"
 _RANKED = "ra as (select *, " + ", ".join(f"(case when {c} = k_{c}[l_{c} + 1] then (l_{c} + s_{c}) / 2.0 else l_{c} + coalesce(({c} - k_{c}[l_{c} + 1]) / (k_{c}[least(l_{c} + 2, m)] - k_{c}[l_{c} + 1]), 0) end) / (m - 1.0) as r_{c}" for c in _COLS) + " from fo)"
-_SCORED = ", ".join(f"round(case when {c} - 1e-7 < k0_{c} then -{N.FARTHEST} when {c} + 1e-7 > k9_{c} then {N.FARTHEST} else greatest(-{N.FARTHEST}, least({N.FARTHEST}, {_probit(f'r_{c}')})) end, 4) as {c}" for c in _COLS)
+_SCORED = ", ".join(f"round(case when {c} - 1e-7 < k0_{c} then -{N.FARTHEST} when {c} + 1e-7 > k9_{c} then {N.FARTHEST} else greatest(-{N.FARTHEST}, least({N.FARTHEST}, {_probit(f'r_{c}')})) end, 4) + 0.0 as {c}" for c in _COLS)
 _YOYS = ", ".join(f"case when first = 1 then 0.0 when l_{c} <> 0 then ({c} - l_{c}) / abs(l_{c}) end as yoy_{c}" for c in FEATURES)
 _NUMERIC = [*FEATURES, *RATIO_NAMES, *(f"yoy_{c}" for c in FEATURES)]
 _MATRIX = (
