@@ -59,12 +59,14 @@ def rarity(docs: DataFrame) -> bytes:
     """
     texts = documents_of(docs).where("doc_id is not null and text is not null")
     words = texts.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("id")).count()
-    level = F.floor(2 * F.log2("count")).cast("int")
+    # Eight buckets are counted in a row: so few groups fit the small table in front of Spark's hash aggregation.
+    ids = words.select(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).cast("int").alias("id"))
+    counts = ids.groupBy(F.shiftright("id", 3).alias("at")).agg(*(F.count(F.when(F.col("id").bitwiseAND(F.lit(7)) == i, 1)).alias(f"n{i}") for i in range(8)))
+    eight = F.array(*(F.coalesce(F.floor(2 * F.log2(F.greatest(F.col(f"n{i}"), F.lit(1)))).cast("int"), F.lit(0)) for i in range(8)))
     levels = bytearray(_BUCKETS)
-    for run in counts.groupBy(F.shiftright("id", 9)).agg(F.collect_list("id").alias("ids"), F.collect_list(level).alias("levels")).toLocalIterator():
-        for i, at in zip(run.ids, run.levels):
-            levels[i] = at
+    for run in counts.groupBy(F.shiftright("at", 6)).agg(F.collect_list(F.struct("at", eight.alias("levels"))).alias("eights")).toLocalIterator():
+        for e in run.eights:
+            levels[8 * e.at : 8 * e.at + 8] = bytes(e.levels)
     return bytes(levels)
 
 
@@ -90,10 +92,10 @@ def signatures(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
     The prefix has 32-bit hashes: a collision adds a candidate pair, which the exact count rejects. The bitmap has 64
     bits, for more than 64 words 128, which fold to 64.
     """
-    # Bytes are a smaller literal than an array of numbers.
-    levels, low = F.lit(rarity(docs)), F.lit((1 << 56) - 1)
-    level = lambda h: F.ascii(F.substring(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int") + 1, F.lit(1)))
-    key = lambda h: F.shiftleft(level(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+    # Spark folds this into one array: to look a level up there takes less than half of what cutting a byte out of a string takes.
+    levels, low = F.split(F.lit(",".join(map(str, rarity(docs)))), ",").cast("array<bigint>"), F.lit((1 << 56) - 1)
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+    key = lambda h: F.shiftleft(level(h), 56).bitwiseOR(h.bitwiseAND(low))
     # The test is of the line: Spark would push one of the hashes below them and hash all words twice.
     lines = _lines(_lowered(docs, parts)).where(F.trim("line") != "").select("doc_id", "place", _hashes(F.col("line")).alias("hashes"))
     lines = lines.select("doc_id", "place", F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", key)).alias("keys"), _leads("hashes").alias("leads"))
@@ -218,22 +220,22 @@ def removed_lines(docs: DataFrame, parts: DataFrame | None) -> DataFrame:
     return later_matches(docs, parts).groupBy("doc_id", "part").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
 
 
-def _with_removed(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, text, part, removed) for every row, its columns in the struct ``doc``: by doc_id, in one shuffle."""
+def _with_removed(docs: DataFrame, shown: Column) -> DataFrame:
+    """(shown, doc_id, part, removed) for every row, by doc_id, in one shuffle; ``shown`` is made of ``text`` and the row's columns, the struct ``doc``, before that."""
     parts = text_parts(docs)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return numbered(rows, parts).join(removed_lines(docs, parts), ["doc_id", "part"], "left")
+    return numbered(rows, parts).select(shown.alias("shown"), "doc_id", "part").join(removed_lines(docs, parts), ["doc_id", "part"], "left")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that go; all rows and columns stay, null and empty texts and rows without a doc_id as they are. An empty table gives no rows. A very long text is split into its lines by one task."""
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
-    clean = F.when(F.col("removed").isNull(), F.col("doc.text")).otherwise(kept)
-    return _with_removed(docs).select(*(clean.alias(c) if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns))
+    kept = F.array_join(F.filter(F.split(F.col("shown.text").cast("string"), "\n"), lambda x, i: ~F.array_contains(F.col("removed"), i)), "\n")
+    clean = F.when(F.col("removed").isNull(), F.col("shown.text")).otherwise(kept)
+    return _with_removed(docs, F.col("doc")).select(*(clean.alias(c) if c == "text" else F.col(f"shown.`{c}`") for c in docs.columns))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed) for every row of ``docs``; a null text has no lines."""
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    return _with_removed(documents_of(docs)).select("doc_id", n_lines.alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))
+    return _with_removed(documents_of(docs), n_lines).select("doc_id", F.col("shown").alias("n_lines"), F.size(gone).cast("long").alias("n_removed"), F.array_join(gone.cast("array<string>"), ",").alias("removed"))

@@ -1,6 +1,7 @@
 """The training-data operators on small, awkward tables, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -182,6 +183,23 @@ def test_line_dedup(spark):
     assert all(clean[i] == (t if t is None else "\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in want)) for i, t in enumerate(texts)) and clean[None] == lines[0]
 
 
+def test_line_report_leaves_texts_where_they_are(spark):
+    """Only line counts go by doc_id, not the texts; and levels of frequency are those of a plain count."""
+    texts = ["a b c d e\nf g", "a b c d e", None, "f g a\n\na"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    out = line_dedup.line_report(df)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join")]
+    assert "split(" not in top
+    assert [(r.doc_id, r.n_lines, r.n_removed) for r in out.orderBy("doc_id").collect()] == [(0, 2, 0), (1, 1, 1), (2, 0, 0), (3, 3, 0)]
+    words = [w for t in texts if t for w in t.replace("\n", " ").split(" ")]
+    ids = [r.i for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr(f"xxhash64(w) & {(1 << 18) - 1} as i").collect()]
+    want = bytearray(1 << 18)
+    for i in set(ids):
+        want[i] = int(2 * math.log2(ids.count(i)))
+    assert line_dedup.rarity(df) == bytes(want)
+
+
 def test_fingerprints(docs, rows):
     got = oph.edited_likeness(docs).collect()
     assert len(got) == len(rows)
