@@ -37,3 +37,20 @@ def test_stages_on_empty_and_odd_tables(spark, rows):
         docs = spark.createDataFrame(out.collect(), schema)
     packed = C.STAGES[-1][1](spark, docs, DIR)
     assert packed.count() == (0 if rows == "none" else packed.count()) and packed.columns[0] == "doc_id"
+
+
+def test_near_copies_go_by_their_whole_texts(spark, tmp_path):
+    """After line dedup a near copy has only its own lines left; it goes with them. What isn't one stays, and so does a text that the table doesn't have."""
+    line = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    body = [line(i, 30) for i in range(6)]
+    texts = ["\n".join(body), "\n".join([*body, line(50, 8)]), "\n".join([*body[:2], *(line(i, 30) for i in range(60, 64))]), None, "\n".join(body)]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = C.drop_repeated_lines(spark, docs, str(tmp_path))
+    left = spark.createDataFrame(left.collect(), left.schema)
+    assert line(50, 8) in [r.text for r in left.collect()]
+    kept = C.drop_near_copies(spark, left, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 2, 3]
+    other = spark.createDataFrame([(0, texts[0], "en", "s", 1), (1, "quite another text than the one there", "en", "s", 1)], docs.schema)
+    assert C.drop_near_copies(spark, other, str(tmp_path)).count() == 2
