@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -52,6 +53,25 @@ def documents_of(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(*(F.col(c) if kinds[c] == k else F.col(c).cast(k).alias(c) for c, k in wanted.items()), *more)
 
 
+def in_slices(run, rows: int = 1000):
+    """``run`` over Arrow batches of at most so many rows. After each of Spark's batches, and at the task's end, Arrow gives the memory back that it keeps for later, so that a worker is no larger than what it holds."""
+
+    def sliced(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def slices():
+            for batch in batches:
+                for start in range(0, len(batch), rows):
+                    yield batch.slice(start, rows)
+                del batch
+                pa.default_memory_pool().release_unused()
+
+        yield from run(slices())
+        pa.default_memory_pool().release_unused()
+
+    return sliced
+
+
 def text_parts(docs: DataFrame, broadcast_rows: int = 500_000) -> DataFrame | None:
     """(doc_id, h1, h2, part): numbers from 0 for the different texts of each doc_id that several rows have, in the order of two 64-bit hashes; None where no doc_id repeats, which the doc_ids alone tell. A null text counts as empty."""
     known = documents_of(docs).where("doc_id is not null")

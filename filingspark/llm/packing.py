@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from ._util import documents_of
+from ._util import documents_of, in_slices
 from .words import portions, table, without_cycles
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -88,12 +88,13 @@ class Packer:
         return rows
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, least: int = 256, known_words: int = 400_000, portion: int = 16_000_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = 4096, least: int = 256, known_words: int = 400_000, portion: int = 16_000_000, small_workers: bool = False) -> DataFrame:
     """The pieces of all documents with their place: (doc_id, start, length, doc_tokens, sequence_id, offset, ids).
 
     A document is its ids and ``end_id``; each id lies in exactly one piece. ``capacity`` is a power of two. Null and
     empty texts are just ``end_id``. A worker remembers about ``known_words`` words and reads ``portion`` bytes of text at
-    once; smaller numbers take less memory and more time, and give the same result. Repeated rows and null ids are packed like any other; an empty table gives no rows.
+    once; smaller numbers take less memory and more time, and give the same result. ``small_workers`` forget their words
+    when a task ends and read few rows at once, which does so too: an idle worker keeps the vocabulary only. Repeated rows and null ids are packed like any other; an empty table gives no rows.
     """
     if capacity & (capacity - 1) or least > capacity:
         raise ValueError("capacity must be a power of two, and least not above it")
@@ -118,11 +119,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                 ids, ends = words.encode(texts)
                 for i in range(len(texts)):
                     rows += packer.add(doc_ids[start + i], np.append(ids[ends[i] : ends[i + 1]], np.uint32(end_id)))
-                    if len(rows) > 20_000:
+                    if len(rows) > portion // 800:
                         yield batch_of(rows)
                         rows = []
         rows += packer.close()
         if rows:
             yield batch_of(rows)
+        if small_workers:
+            words.forget()
 
-    return documents_of(docs).mapInArrow(without_cycles(run), SCHEMA)
+    return documents_of(docs).mapInArrow(without_cycles(in_slices(run) if small_workers else run), SCHEMA)

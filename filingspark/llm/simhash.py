@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._util import cut, documents_of
+from ._util import cut, documents_of, in_slices
 from .components import connected_components
 
 SEED = 42
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             fps = [_fingerprint(t, hash_of, words) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f - (f >> 63 << 64) for f in fps], pa.int64())], ["doc_id", "fp"])
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, fp long")
+    return documents_of(docs).mapInArrow(in_slices(run), "doc_id long, fp long")
 
 
 def build_tree(sample, shards: int, radius: int):

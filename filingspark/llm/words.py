@@ -37,6 +37,10 @@ class WordTable:
         self.words, self.pieces = Recent(size), Recent(size)
         self.packed = {i: i.to_bytes(4, "little") for i in self.bpe.token}
 
+    def forget(self) -> None:
+        """What it remembers of texts; the vocabulary stays."""
+        self.words, self.pieces = Recent(self.words.size), Recent(self.pieces.size)
+
     @cached_property
     def tokens(self) -> list[str]:
         """The text of each id."""

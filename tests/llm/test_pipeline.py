@@ -2,6 +2,7 @@
 
 import corpus_pipeline as C
 import pytest
+from pyspark.sql import functions as F
 
 DIR = "/root/testdata/sf0.001"
 
@@ -54,3 +55,36 @@ def test_near_copies_go_by_their_whole_texts(spark, tmp_path):
     assert sorted(r.doc_id for r in kept) == [0, 2, 3]
     other = spark.createDataFrame([(0, texts[0], "en", "s", 1), (1, "quite another text than the one there", "en", "s", 1)], docs.schema)
     assert C.drop_near_copies(spark, other, str(tmp_path)).count() == 2
+
+
+def test_packing_leaves_idle_workers_small(spark):
+    """Idle Python workers count for their executor while other stages run: after packing they keep no words of texts. The rows are those of larger workers."""
+    from filingspark.llm import packing, words
+    from filingspark.llm.registry import vocabulary
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    path = vocabulary("word_bpe_49k.json")
+
+    def kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            found = [len(r) + len(r.old) for t in words._TABLES.values() for r in (t.words, t.pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(found)], pa.int64())], ["n"])
+
+    wanted = ["doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"]
+    large = sorted(map(tuple, packing.pack(docs, path).select(*wanted).collect()))
+    assert sorted(map(tuple, C.pack_sequences(spark, docs, DIR).collect())) == large
+    C.pack_sequences(spark, docs.repartition(16), DIR).count()  # every worker has packed once since
+    assert spark.range(16, numPartitions=16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_slices_hold_all_rows_in_order():
+    import pyarrow as pa
+    from filingspark.llm._util import in_slices
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int64())], ["i"]) for a, b in ((0, 7), (7, 7), (7, 10), (10, 11))]
+    for rows in (1, 3, 7, 100):
+        out = list(in_slices(lambda it: it, rows)(iter(batches)))
+        assert [i for b in out for i in b.column(0).to_pylist()] == list(range(11)) and max(map(len, out)) <= rows
+    assert list(in_slices(lambda it: it)(iter([]))) == []
