@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingspark.functions.normal import normal_quantile
-from filingspark.operators import market as M
+from filingspark.operators import market as M, ordered
 from filingspark.operators.features import PanelScaler, build_feature_matrix, class_balance, labelled_rows
+from filingspark.operators.metrics import ranking
 from filingspark.operators.quantiles import knots, quantiles
 
 R = random.Random(3)
@@ -38,6 +39,27 @@ def test_knots_are_exact(values):
         assert got[k] == pytest.approx(list(np.quantile(vs, np.linspace(0, 1, max(2, min(200, len(vs)))))))
 
 
+def test_a_sketch_that_comes_out_another_way_each_time_changes_nothing(spark, values, monkeypatch):
+    """On a cluster the parts of a sketch arrive in any order: if it's computed twice, its two results differ."""
+    ends = F.udf(lambda lo, hi: sorted(random.SystemRandom().uniform(lo, hi) for _ in range(9)), "array<double>")
+    monkeypatch.setattr(F, "percentile_approx", lambda c, probs, accuracy: ends(F.min(c), F.max(c)))
+    reuse = spark.conf.get("spark.sql.exchange.reuse")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        got = {r.k: r.knots for r in knots(values, ["k"], "x", 200, 9).collect()}
+        scores = values.where("k = 'many'").select("k", F.col("x").alias("score"), (F.col("x") > 0.5).cast("int").alias("y"))
+        area = ranking(scores, ["k"]).first()
+        days = spark.range(400).select(F.lit("a").alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")).alias("d"), (F.col("id") % 5 == 0).cast("int").alias("kind"))
+        found = ordered.next_row(days.withColumn("row", F.when(F.col("kind") == 1, F.col("d"))), "k", "d", "kind", "row", hot=10).select(F.datediff("__next", "d").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+    for k, vs in GROUPS.items():
+        m = max(2, min(200, len(vs)))
+        assert got[k] == pytest.approx(list(np.quantile(vs, np.linspace(0, 1, m))))
+    assert (area.n_rows, area.auroc) == (5000, 1.0)
+    assert sorted(r.n or 0 for r in found) == sorted([1, 2, 3, 4] * 79 + [0] * 4)
+
+
 def test_normal_quantile(spark):
     from statistics import NormalDist
 
