@@ -57,6 +57,36 @@ def test_near_copies_go_by_their_whole_texts(spark, tmp_path):
     assert C.drop_near_copies(spark, other, str(tmp_path)).count() == 2
 
 
+def test_near_copies_go_by_their_whole_texts_where_doc_ids_repeat(spark, tmp_path):
+    """Each text of a doc_id is compared, as a copy and as an original; one that came no further is no original."""
+    line = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    body, other, third, bad = ([line(i, 30) for i in range(s, s + 6)] for s in (0, 10, 20, 30))
+    texts = {
+        (0, "first"): body,
+        (1, "copy"): [*body, line(50, 8)],
+        (1, "apart"): other,
+        (2, "copy"): [*other, line(51, 8)],
+        (3, "one"): third,
+        (3, "two"): [*third, line(52, 8)],
+        (4, "rejected"): bad,
+        (4, "kept"): [line(60, 20)],
+        (5, "stays"): [*bad, line(53, 8)],
+    }
+    rows = [(i, "\n".join(t), "en", s, 1) for (i, s), t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    left = C.drop_repeated_lines(spark, docs.where("source <> 'rejected'"), str(tmp_path))
+    left = spark.createDataFrame(left.collect(), left.schema)
+    kept = C.drop_near_copies(spark, left, str(tmp_path)).collect()
+    found = {(r.doc_id, r.source) for r in kept}
+    assert len(kept) == 5 and found - {(3, "one"), (3, "two")} == {(0, "first"), (1, "apart"), (4, "kept"), (5, "stays")}
+    table = [(0, "\n".join(body), "en", "s", 1), (1, "\n".join([*body, line(50, 8)]), "en", "s", 1)]
+    spark.createDataFrame(table, docs.schema).write.parquet(f"{tmp_path}/two/documents.parquet")
+    for first, n in ((line(70, 30), 2), (body[0], 1)):  # what stands under an original's doc_id must be made of it
+        here = spark.createDataFrame([(0, first, "en", "s", 1), (1, line(50, 8), "en", "s", 1)], docs.schema)
+        assert C.drop_near_copies(spark, here, f"{tmp_path}/two").count() == n
+
+
 def test_packing_leaves_idle_workers_small(spark):
     """Idle Python workers count for their executor while other stages run: after packing they keep no words of texts. The rows are those of larger workers."""
     from filingspark.llm import packing, words
