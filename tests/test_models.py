@@ -213,3 +213,27 @@ def test_scaling_curve(rows):
     n = train.count()
     assert {f: r.n_train for f, r in got.items()} == {f: max(1, int(n * f)) for f in (0.1, 0.25, 0.5, 0.75, 1.0)}
     assert got[1.0].auroc > 0.75
+
+
+def test_of_two_children_only_the_smaller_is_summed(rows, monkeypatch):
+    seen = []
+    real = B._level_sums
+
+    def spy(state, arrays, asked, recent, growing, place, weights, fits, number, level, *rest):
+        sums = real(state, arrays, asked, recent, growing, place, weights, fits, number, level, *rest)
+        seen.append((level, len(asked[0][0]), int(sums[0][2][:, 0].sum())))
+        return sums
+
+    monkeypatch.setattr(B, "_level_sums", spy)
+    M.boosted_trees(rows, NAMES, "y", rounds=2, depth=3, subsample=1.0)
+    n = rows.count()
+    assert {level for level, _, _ in seen} == {0, 1, 2} and all(nodes == max(1, 2 ** (level - 1)) and (level == 0 or k <= n / 2) for level, nodes, k in seen)
+
+
+def test_walk_forward_derives_ratios_and_changes_once(spark, monkeypatch):
+    calls = []
+    real = M.derived
+    monkeypatch.setattr(M, "derived", lambda *a, **k: calls.append(1) or real(*a, **k))
+    monkeypatch.setattr(M, "benchmark_scores", lambda *a: spark.createDataFrame([], "outcome string, model string, y int, score double"))
+    assert M.walk_forward(panel_of(spark), S.fold_table(spark, "1996-12-31", "1999-12-31"), ["total_assets", "net_income"], ["y"], method="zscore").count() == 0
+    assert len(calls) == 1

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filingspark.functions.normal import normal_quantile
-from filingspark.operators import market as M, ordered
+from filingspark.operators import market as M, ordered, quantiles as Q
 from filingspark.operators.features import PanelScaler, build_feature_matrix, class_balance, labelled_rows
 from filingspark.operators.metrics import ranking
 from filingspark.operators.quantiles import knots, quantiles
@@ -39,6 +39,24 @@ def test_knots_are_exact(values):
         assert got[k] == pytest.approx(list(np.quantile(vs, np.linspace(0, 1, max(2, min(200, len(vs)))))))
 
 
+@pytest.mark.parametrize("many", [0, 10**6])
+def test_columns_have_their_quantiles_in_common_passes(spark, many, monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 20_000
+    cols = {"normal": rng.normal(size=n), "ties": rng.integers(0, 7, n).astype("f8"), "skew": np.exp(3 * rng.normal(size=n)), "few": np.full(n, np.nan), "none": np.full(n, np.nan), "same": np.full(n, 2.5)}
+    cols["few"][[3, 700, 9000]] = 1.0, 5.0, -2.0
+    rows = [tuple(None if np.isnan(c[i]) else float(c[i]) for c in cols.values()) for i in range(n)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in cols)).repartition(6).cache()
+    probs = [0.0, 0.01, 0.5, 0.99, 1.0]
+    want = {c: list(np.quantile(v[~np.isnan(v)], probs)) for c, v in cols.items() if c != "none"}
+    found = Q.column_quantiles(df, list(cols), probs, many=many)
+    assert set(found) == set(want) and all(found[c] == pytest.approx(want[c]) for c in want)
+    assert Q.column_quantiles(df.where("false"), list(cols), probs) == {} == Q.column_quantiles(df, [], probs)
+    monkeypatch.setattr(Q, "_apart", lambda brackets: ([9.0], [9.5]))  # no rank is there: exact all the same
+    found = Q.column_quantiles(df.select("normal", "few"), ["normal", "few"], probs, many=many)
+    assert all(found[c] == pytest.approx(want[c]) for c in ("normal", "few"))
+
+
 def test_a_sketch_that_comes_out_another_way_each_time_changes_nothing(spark, values, monkeypatch):
     """On a cluster the parts of a sketch arrive in any order: if it's computed twice, its two results differ."""
     ends = F.udf(lambda lo, hi: sorted(random.SystemRandom().uniform(lo, hi) for _ in range(9)), "array<double>")
